@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlake.llm import decontaminate, exact, mixing, simhash
+from assetlake.llm import decontaminate, exact, mixing, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,12 +29,18 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), longest.alias("longest_match"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents")).drop("rate")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op6_simhash, op7_decontamination, op10_mixing)}
+    import corpus_pipeline
+
+    return {f.__name__: f for f in (op1_exact_dedup, op6_simhash, op7_decontamination, op9_toxicity, op10_mixing)} | {"pipeline": corpus_pipeline.run}
 
 
 OP1_SQL = """
@@ -45,5 +51,7 @@ FROM (SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_siz
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op1_exact_dedup": OP1_SQL}
+    import corpus_pipeline
+
+    found = {"op1_exact_dedup": OP1_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {k: v for k, v in found.items() if v}
