@@ -122,20 +122,21 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Block:
     """Some whole texts, lower-cased in A-Z, as one byte array with its words.
 
-    data: bytes; first/last: bounds of each word; bounds[i]:bounds[i+1] are the words of text i.
+    wordly: which bytes are in words, or the class of each byte, where words end with their class
+    and class 0 is in none. data: bytes; first/last: bounds of each word; bounds[i]:bounds[i+1] are the words of text i.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, wordly: np.ndarray):
         self.data, self.offsets = LOWER[data], offsets
         inside = wordly[self.data]
         n = len(data)
-        before, after = np.zeros(n, bool), np.zeros(n, bool)
+        before, after = np.zeros_like(inside), np.zeros_like(inside)
         before[1:], after[:-1] = inside[:-1], inside[1:]
         cuts = offsets[:-1][offsets[:-1] < n]
-        before[cuts] = False
-        after[cuts[cuts > 0] - 1] = False
-        self.first = np.flatnonzero(inside & ~before)
-        self.last = np.flatnonzero(inside & ~after) + 1
+        before[cuts] = 0
+        after[cuts[cuts > 0] - 1] = 0
+        self.first = np.flatnonzero((inside > 0) & (before != inside))
+        self.last = np.flatnonzero((inside > 0) & (after != inside)) + 1
         self.bounds = np.searchsorted(self.first, offsets)
 
     def owners(self) -> np.ndarray:

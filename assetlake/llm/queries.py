@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlake.llm import decontaminate, exact, language, likelihood, mixing, simhash, toxicity
+from assetlake.llm import decontaminate, exact, language, likelihood, mixing, quality, simhash, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(_table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -48,7 +56,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {f.__name__: f for f in (op1_exact_dedup, op2_language, op6_simhash, op7_decontamination, op8_likelihood, op9_toxicity, op10_mixing)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_language, op3_quality, op4_urls, op6_simhash, op7_decontamination, op8_likelihood, op9_toxicity, op10_mixing)} | {"pipeline": corpus_pipeline.run}
 
 
 OP1_SQL = """
