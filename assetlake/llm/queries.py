@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlake.llm import decontaminate, exact, language, likelihood, mixing, quality, simhash, toxicity, urls
+from assetlake.llm import decontaminate, exact, language, likelihood, mixing, passages, quality, simhash, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {f.__name__: f for f in (op1_exact_dedup, op2_language, op3_quality, op4_urls, op6_simhash, op7_decontamination, op8_likelihood, op9_toxicity, op10_mixing)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_language, op3_quality, op4_urls, op5_passages, op6_simhash, op7_decontamination, op8_likelihood, op9_toxicity, op10_mixing)} | {"pipeline": corpus_pipeline.run}
 
 
 OP1_SQL = """
