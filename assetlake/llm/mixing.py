@@ -70,8 +70,9 @@ def balance(sized: DataFrame, targets: DataFrame) -> DataFrame:
         n = state.count() if not step else n
         right = state.select(F.col("source").alias("_s"), "tilt")
         joined = join_small(weighted, right, F.col("source").eqNullSafe(F.col("_s")), "inner", n)
-        moments = joined.groupBy("source").agg(F.sum(F.col("size") * F.col("count") * F.exp("tilt")).alias("moment"))
-        moments = moments.select(F.col("source").alias("_s"), "moment")
+        # whole numbers are summed, so that a rerun gives the same bits
+        moments = joined.groupBy("source", "tilt").agg(F.sum(F.col("size") * F.col("count")).alias("moment"))
+        moments = moments.select(F.col("source").alias("_s"), (F.col("moment") * F.exp("tilt")).alias("moment"))
         step_ = F.when((F.col("target") > 0) & (F.col("moment") > 0), (F.col("target") - F.col("moment")) / F.col("moment")).otherwise(0.0)
         # far above the optimum a full step is about -1; far below it would leap, so it is bounded
         state = materialize(state.join(moments, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("tilt", F.col("tilt") + F.least(step_, F.lit(2.0))).withColumn("gap", F.abs(step_)).drop("_s", "moment"))

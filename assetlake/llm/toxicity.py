@@ -39,7 +39,9 @@ LEET = {
 #: Log costs of the channel: a substituted letter, a character kept as it is, a deleted one, a shortened run.
 SWAP, KEEP, DROP, SHORTEN = math.log(0.3), math.log(0.05), math.log(0.1), math.log(0.45)
 
-SPACED = re.compile(r"(?<!\S)[^\W_](?:[ \t.\-_*][^\W_]){2,}(?![^\s.,;:!?])")
+SPACED = re.compile(r"(?<!\S)[^\W_]([ .\-_*])[^\W_](?:\1[^\W_])+(?![^\s.,;:!?])")
+#: Lengths of the words that are looked for within spaced letters, as a neighbour may be a letter too.
+SPELT = range(4, 13)
 PARTS = re.compile(r"[^\W_]+")
 PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "@$|+(") + "…“”‘’«»¿¡"
 RUN = re.compile(r"(.)\1\1")
@@ -123,6 +125,15 @@ def despace(text: str) -> str:
     return SPACED.sub(lambda m: "".join(PARTS.findall(m[0])), text)
 
 
+def spelt(text: str) -> set[str]:
+    """Every word that letters which stand apart may spell."""
+    out = set()
+    for m in SPACED.finditer(text):
+        word = "".join(PARTS.findall(m[0]))
+        out.update(word[i : i + n] for n in SPELT for i in range(len(word) - n + 1))
+    return out
+
+
 def deobfuscate(text: str | None, letters: Letters) -> str:
     """The whole text restored, in lower case."""
     return " ".join(restore(t, letters) for t in despace((text or "").lower()).split())
@@ -151,7 +162,8 @@ class Model:
         return most
 
     def score(self, text: str | None) -> float:
-        tokens = set(despace((text or "").lower()).split())
+        lowered = (text or "").lower()
+        tokens = set(lowered.split()) | spelt(lowered)
         memory, found = self.memory, []
         for t in tokens:
             e = memory.get(t)
@@ -186,7 +198,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -
 
 def train(rows: list[tuple[str | None, int]], share: float) -> Model:
     """rows: (text, label) of the sample; share: the share of label 1 among all labelled rows."""
-    lowered = [despace((t or "").lower()).split() for t, _ in rows]
+    lowered = [despace((t or "").lower()).split() for t, _ in rows]  # spelt-out words are learned whole
     letters = Letters(w for words in lowered for t in set(words) if (w := t.strip(PUNCTUATION)).isalpha())
     known: dict[str, str] = {}
 
