@@ -24,7 +24,7 @@ def portable_name(path: Column) -> Column:
 
 def exported_name(path: Column) -> Column:
     """STR-01, for exports: the last part that isn't empty, with `:` as a separator too."""
-    return F.coalesce(F.element_at(F.filter(F.split(path, r"[/\\:]"), lambda p: p != ""), -1), F.lit(""))
+    return F.coalesce(F.try_element_at(F.filter(F.split(path, r"[/\\:]"), lambda p: p != ""), F.lit(-1)), F.lit(""))
 
 
 def resource_path(path: Column) -> Column:
