@@ -7,6 +7,7 @@ shared folder as Parquet and reads them again as the next one's documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from assetlake.llm import decontaminate, exact, mixing, simhash, toxicity
 from assetlake.llm.common import materialize
@@ -37,8 +38,14 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents with the copies that the mix takes; documents it doesn't take are gone."""
-    return mixing.mix(docs).filter("copies > 0").select("row.*", "size", "copies")
+    """The columns of documents with their words and the copies that the mix takes (size and copies, with
+    underscores before a name that is taken); documents it doesn't take are gone."""
+    taken = {c.lower() for c in docs.columns}
+
+    def fresh(name: str) -> str:
+        return fresh(f"_{name}") if name in taken else name
+
+    return mixing.mix(docs).filter("copies > 0").select("row.*", F.col("size").alias(fresh("size")), F.col("copies").alias(fresh("copies")))
 
 
 STAGES = [

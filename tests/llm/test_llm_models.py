@@ -309,6 +309,15 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in final.collect()} == before
 
 
+def test_last_stage_keeps_clashing_columns(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "a b c", "en", "s", 5, 9, "z")], DOCS + ", size long, copies string")
+    out = corpus_pipeline.mixed(spark, docs, "")
+    assert out.columns == docs.columns + ["_size", "_copies"]
+    assert [(r["size"], r["copies"], r["_size"], r["_copies"]) for r in out.collect()] == [(9, "z", 3, 2)]
+
+
 def test_registered_queries():
     import __spark_entry__
 
