@@ -41,8 +41,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     items = F.sha2(F.array_join("items", ",").cast("binary"), 256)
-    longest = F.coalesce(F.array_max(F.transform("matches", lambda m: m["length"])), F.lit(0))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), longest.alias("longest_match"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op8_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,9 +68,24 @@ FROM (SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_siz
       FROM documents WINDOW w AS (PARTITION BY coalesce(text, '')))
 """
 
+#: Words, windows and their occurrences as joins on the windows' text.
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+s AS (SELECT item_id, ws, least(10, len(ws)) AS n FROM b WHERE len(ws) > 0),
+p AS (SELECT item_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS place FROM s),
+win AS (SELECT DISTINCT item_id, n, array_to_string(ws[place : place + n - 1], ' ') AS g FROM p),
+q AS (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS place FROM d, (SELECT DISTINCT n FROM win)),
+hits AS (SELECT DISTINCT doc_id, place, n, item_id FROM (SELECT doc_id, place, n, array_to_string(ws[place : place + n - 1], ' ') AS g FROM q) JOIN win USING (n, g)),
+cover AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(place, place + n)) AS x FROM hits) GROUP BY 1),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    found = {"op1_exact_dedup": OP1_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    found = {"op1_exact_dedup": OP1_SQL, "op7_decontamination": OP7_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {k: v for k, v in found.items() if v}

@@ -12,7 +12,7 @@ import heapq
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +50,9 @@ RUN = re.compile(r"(.)\1\1")
 class Letters:
     """A character trigram model of words, interpolated with bigrams and single letters."""
 
-    def __init__(self, words: Iterable[str]):
+    def __init__(self, words: Counter[str]):
         three, two, one = Counter(), Counter(), Counter()
-        for word, n in Counter(words).items():
+        for word, n in words.items():
             if n < 2:  # most are rarities, which say little of spelling
                 continue
             padded = f"^^{word}$"
@@ -198,19 +198,26 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -
 
 def train(rows: list[tuple[str | None, int]], share: float) -> Model:
     """rows: (text, label) of the sample; share: the share of label 1 among all labelled rows."""
-    lowered = [despace((t or "").lower()).split() for t, _ in rows]  # spelt-out words are learned whole
-    letters = Letters(w for words in lowered for t in set(words) if (w := t.strip(PUNCTUATION)).isalpha())
+    def tokens_of(text: str | None) -> set[str]:
+        return set(despace((text or "").lower()).split())  # spelt-out words are learned whole
+
+    plain: Counter[str] = Counter()
+    for text, _ in rows:
+        plain.update(w for t in tokens_of(text) if (w := t.strip(PUNCTUATION)).isalpha())
+    letters = Letters(plain)
+    del plain
     known: dict[str, str] = {}
 
-    def words_of(tokens: list[str]) -> set[str]:
+    def words_of(tokens: set[str]) -> set[str]:
         out = set()
-        for t in set(tokens):
+        for t in tokens:
             if (word := known.get(t)) is None:
                 word = known[t] = restore(t, letters)
             out.add(word)
         return out
 
-    sets = [words_of(tokens) for tokens in lowered]
+    sets = [words_of(tokens_of(text)) for text, _ in rows]
+    known.clear()
     labels = np.array([y for _, y in rows])
     n = [int((labels == k).sum()) for k in (0, 1)]
     if not all(n):

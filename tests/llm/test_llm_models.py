@@ -323,3 +323,13 @@ def test_registered_queries():
 
     names = [n for n in __spark_entry__.queries() if n.startswith("op") or n == "pipeline"]
     assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11)) and "pipeline" in names
+
+
+def test_queries_equal_their_sql(spark):
+    from oracle import compare, connect
+
+    from assetlake.llm import queries
+
+    tables = connect(SF)
+    for name, sql in queries.oracle_sql().items():
+        assert compare(spark, tables, queries.queries()[name], sql, SF) == "", name
