@@ -206,3 +206,24 @@ def test_passages_are_found_with_their_bounds(spark):
     spans = {r["doc_id"]: r["spans"] for r in passages.covered(got).collect()}
     assert all(s["start"] < s["end"] for v in spans.values() for s in v)
     assert passages.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_unlike_chains_are_cut():
+    r = random.Random(8)
+    a = np.array([r.randrange(1 << 15) for _ in range(300)], "<u2")
+    b = a.copy()
+    b[120:180] = [(1 << 15) + i for i in range(60)]  # 60 words differ on one diagonal
+    b[200:290] = [(1 << 15) + 100 + i for i in range(90)]
+    got = passages.align(a, b, (0, 0), (300, 300), 0.8)
+    assert (0, 120, 0, 120, 120) in got and all(2 * n >= 0.8 * (e - s + f - t) for s, e, t, f, n in got)
+    assert passages.align(a, b, (0, 0), (120, 120), 0.8) == [(0, 120, 0, 120, 120)]
+
+
+def test_a_passage_beside_partial_holders_is_found(spark):
+    r = random.Random(9)
+    fresh = iter(range(10**6))
+    new = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    p = new(60)
+    texts = [(1, new(30) + p[:35] + new(40)), (2, new(25) + p + new(25)), (3, new(50) + p + new(10)), (4, p[:20] + new(30) + p[40:] + new(5))]
+    got = passages.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string").coalesce(1))
+    assert {frozenset((x["doc_id"], x["rep_id"])) for x in got.collect()} == {frozenset((2, 3))}
