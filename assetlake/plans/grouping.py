@@ -117,7 +117,7 @@ def strip_triangles(spark, sf_dir):
 
 
 @query("""
-SELECT vec_id, filter - 1 AS filter FROM (SELECT vec_id, list_position(s, list_min(s)) AS filter FROM (
+SELECT vec_id, CAST(filter - 1 AS BIGINT) AS filter FROM (SELECT vec_id, list_position(s, list_min(s)) AS filter FROM (
   SELECT vec_id, [list_sum(list_transform(embedding[k * 12 + 1 : k * 12 + 12], lambda x: abs(round(x * 100)))) for k in range(5)] AS s FROM embeddings))""")
 def min_sum_choice(spark, sf_dir):
     """WIN-07: the candidate of the least sum, the first of equal ones."""
