@@ -77,3 +77,36 @@ def branch(nodes: DataFrame, key: str, parent: str, node) -> DataFrame:
     lower = _levels(nodes, down, lambda level: level.join(child, level[key] == child["_parent"]).select(F.col("_key").alias(key), (F.col("distance") + 1).alias("distance")))
     upper = _levels(nodes, down, lambda level: level.join(child, level[key] == child["_key"]).filter("_parent is not null").select(F.col("_parent").alias(key), (F.col("distance") - 1).alias("distance")))
     return lower.withColumn("role", F.lit("subtree")).unionByName(upper.filter("distance < 0").withColumn("role", F.lit("ancestor")))
+
+
+def matrix(position: Column, rotation: Column, scale: Column) -> Column:
+    """The 16 numbers, row by row, of a local transform: scale, then rotation (a unit quaternion), then position."""
+    x, y, z, w = (rotation[i].cast("double") for i in range(4))
+    s, p = [scale[i].cast("double") for i in range(3)], [position[i].cast("double") for i in range(3)]
+    rows = (
+        (1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)),
+        (2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)),
+        (2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)),
+    )
+    cells = [c for r, t in zip(rows, p) for c in (*(v * k for v, k in zip(r, s)), t)]
+    return F.array(*cells, *[F.lit(float(v)) for v in (0, 0, 0, 1)])
+
+
+def multiply(a: Column, b: Column) -> Column:
+    """NUM-12: the product of two matrices of 16 numbers."""
+    cell = lambda i, j: sum((F.get(a, F.lit(4 * i + k)) * F.get(b, F.lit(4 * k + j)) for k in range(1, 4)), F.get(a, F.lit(4 * i)) * F.get(b, F.lit(j)))
+    return F.array(*[cell(i, j) for i in range(4) for j in range(4)])
+
+
+def global_matrices(nodes: DataFrame, key: str, parent: str, local: str) -> DataFrame:
+    """HIER-06: (key, matrix): the product of a node's local matrices from its root down."""
+    roots = nodes.filter(F.col(parent).isNull()).select(key, F.col(local).alias("matrix"))
+    below = nodes.filter(F.col(parent).isNotNull()).select(F.col(key).alias("_key"), F.col(parent).alias("_parent"), F.col(local).alias("_local"))
+    step = lambda level: level.join(below, level[key] == below["_parent"]).select(F.col("_key").alias(key), multiply(F.col("matrix"), F.col("_local")).alias("matrix"))
+    return _levels(nodes, roots, step)
+
+
+def outline(found: DataFrame, path: str = "path", depth: str = "depth") -> DataFrame:
+    """HIER-07: one line for each node, indented by its depth, in the order of the paths."""
+    name = F.substring_index(path, "/", -1)
+    return found.orderBy(path).select(F.concat(F.repeat(F.lit("  "), F.col(depth)), name).alias("line"))

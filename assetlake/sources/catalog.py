@@ -220,6 +220,42 @@ class Catalog:
         last = parents.groupBy(F.col("owner_file").alias("file"), F.col("owner").alias("path_id")).agg(F.max_by(F.struct("parent_file", "parent_id"), "transform").alias("p"))
         return game_objects.join(last, ["file", "path_id"], "left").select("file", "path_id", "object_index", "name", F.col("p.parent_file").alias("parent_file"), F.col("p.parent_id").alias("parent_id"))
 
+    def scripts(self) -> DataFrame:
+        """PRJ-11, JOIN-06: behaviours with the class, namespace and assembly of their script, where it is there."""
+        ref = "struct<m_FileID: int, m_PathID: long>"
+        own = self.values([readers.MONO_BEHAVIOUR], ["m_Name", "m_Script"]).filter("value is not null").select("file", F.col("path_id").alias("behaviour"), "name", F.from_json("value", f"m_Script {ref}").alias("v"))
+        refs = own.select("file", "behaviour", "name", F.col("v.m_Script.m_FileID").alias("file_id"), F.col("v.m_Script.m_PathID").alias("path_id"))
+        found = self.resolve(refs, [readers.MONO_SCRIPT])
+        shape = "m_ClassName string, m_Namespace string, m_AssemblyName string"
+        classes = self.values([readers.MONO_SCRIPT]).filter("value is not null").select(F.col("file").alias("target_file"), "path_id", F.from_json("value", shape).alias("s"))
+        joined = found.join(classes, ["target_file", "path_id"], "left")
+        return joined.select("file", F.col("behaviour").alias("path_id"), F.coalesce(F.nullif("name", F.lit("")), "s.m_ClassName").alias("name"), F.col("s.m_ClassName").alias("class_name"), F.col("s.m_Namespace").alias("namespace"), F.col("s.m_AssemblyName").alias("assembly"))
+
+    def material_textures(self) -> DataFrame:
+        """PRJ-10, JOIN-12: (file, path_id, property, texture_file, texture_id) of materials with a type tree.
+        Null and dangling references, and targets that aren't textures, are left out."""
+        ref = "struct<m_FileID: int, m_PathID: long>"
+        shape = f"m_SavedProperties struct<m_TexEnvs: array<struct<first: string, second: struct<m_Texture: {ref}>>>>"
+        envs = self.values([readers.MATERIAL]).filter("value is not null").select("file", F.col("path_id").alias("material"), F.explode(F.from_json("value", shape)["m_SavedProperties"]["m_TexEnvs"]).alias("e"))
+        refs = envs.select("file", "material", F.col("e.first").alias("property"), F.col("e.second.m_Texture.m_FileID").alias("file_id"), F.col("e.second.m_Texture.m_PathID").alias("path_id"))
+        found = self.resolve(refs, [28]).filter("target_file is not null")
+        return found.select("file", F.col("material").alias("path_id"), "property", F.col("target_file").alias("texture_file"), F.col("path_id").alias("texture_id"))
+
+    def global_matrices(self) -> DataFrame:
+        """HIER-06: the global matrix of each transform."""
+        from assetlake.operators import hierarchy
+
+        ref, xyz = "struct<m_FileID: int, m_PathID: long>", "struct<x: double, y: double, z: double>"
+        shape = f"m_Father {ref}, m_LocalRotation struct<x: double, y: double, z: double, w: double>, m_LocalPosition {xyz}, m_LocalScale {xyz}"
+        moves = self.values([readers.TRANSFORM, readers.RECT_TRANSFORM]).filter("value is not null").select("file", F.col("path_id").alias("transform"), F.from_json("value", shape).alias("v"))
+        parts = lambda c, names: F.array(*[F.col(f"v.{c}.{n}") for n in names])
+        local = hierarchy.matrix(parts("m_LocalPosition", "xyz"), parts("m_LocalRotation", "xyzw"), parts("m_LocalScale", "xyz"))
+        refs = moves.select("file", "transform", local.alias("local"), F.col("v.m_Father.m_FileID").alias("file_id"), F.col("v.m_Father.m_PathID").alias("path_id"))
+        found = self.resolve(refs, [readers.TRANSFORM, readers.RECT_TRANSFORM])
+        key = lambda a, b: F.concat_ws("\0", F.col(a), F.col(b).cast("string"))
+        nodes = found.select(key("file", "transform").alias("key"), F.when(F.col("target_file").isNotNull(), key("target_file", "path_id")).alias("parent"), "local", "file", "transform").persist()
+        return hierarchy.global_matrices(nodes, "key", "parent", "local").join(nodes.select("key", "file", "transform"), "key").select("file", F.col("transform").alias("path_id"), "matrix")
+
     def page(self, offset: int = 0, limit: int = 100) -> DataFrame:
         """SRT-01, SRT-02: a page of the enumeration."""
         if limit > 1_000_000:

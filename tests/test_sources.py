@@ -1,14 +1,16 @@
 """Containers, serialized files and the catalog on bytes made here."""
 
+import io
 import json
 import struct
 
 import pytest
 
 import asset_bytes as make
+from assetlake import __main__ as command
 from assetlake.engine import Engine
 from assetlake.operators.hierarchy import HierarchyError
-from assetlake.sources import catalog, containers, serialized
+from assetlake.sources import catalog, containers, schemas, serialized
 from assetlake.sources.binary import InvalidData, Unsupported
 from assetlake.sources.containers import Limits, detect, expand
 
@@ -169,3 +171,50 @@ def test_split_files(spark, tmp_path):
 def test_failing_roots_can_end_the_job(spark):
     with pytest.raises(Exception, match="unsafe path"):
         Engine.of(spark, [("z", make.zipped([("../up", b"x")]))], skip=False).inspect().collect()
+
+
+def test_matrices_follow_the_chain(spark):
+    engine = Engine.of(spark, [("s", scene_file())])
+    got = {r["path_id"]: r["matrix"] for r in engine.catalog.global_matrices().collect()}
+    assert got[11][3::4] == [1, 2, 3, 1] and got[21][3::4] == [2, 4, 6, 1] and got[31][:3] == [1, 0, 0]
+
+
+def test_schemas():
+    nodes = [{"level": 0, "type": "Base", "name": "Base"}, {"level": 1, "type": "int", "name": "x", "byte_size": 4}]
+    more = nodes + [{"level": 1, "type": "int", "name": "y"}]
+    entries = [{"assembly": "Game.DLL", "namespace": "n", "class": "C", "nodes": nodes}, {"assembly": "game", "namespace": "n", "class": "C", "unity_version": "2022.1", "nodes": more}, {"assembly": "game", "namespace": "n", "class": "C", "nodes": more}]
+    registry = schemas.Registry.from_json(json.dumps(entries))
+    assert len(registry.find("GAME", "n", "C")) == 2 and len(registry.find("Game.dll", "n", "C", "2022.1")) == 3 and registry.find("game", "m", "C") is None
+    assert serialized.decode(struct.pack("<i", 5), False, registry.find("game", "n", "C")) == [("x", 5)]
+    for bad in ("{", "{}", '[{"class": 1}]', json.dumps([{**entries[0], "nodes": [{"level": 3, "type": "a", "name": "b"}]}])):
+        with pytest.raises(InvalidData):
+            schemas.Registry.from_json(bad)
+    with pytest.raises(InvalidData):
+        schemas.Registry.from_json(json.dumps(entries), schemas.Limits(nodes=7))
+    schemas.Registry.from_json(json.dumps(entries), schemas.Limits(nodes=8))
+
+
+def test_scripts_name_their_behaviours(spark):
+    behaviour = make.pptr(0, 0) + b"\1\0\0\0" + make.pptr(0, 9) + make.text("")
+    tree = [(0, "MonoScript", "Base", -1, 0, 0)] + [n for name in ("m_Name", "m_ClassName", "m_Namespace", "m_AssemblyName") for n in ((1, "string", name, -1, 0, 0x4000), (2, "Array", "Array", -1, 1, 0), (3, "int", "size", 4, 0, 0), (3, "char", "data", 1, 0, 0))]
+    script = b"".join(make.text(x) for x in ("script", "Walker", "game", "Assembly-CSharp.dll"))
+    mono = [(0, "MonoBehaviour", "Base", -1, 0, 0), *pptr_nodes("m_GameObject"), (1, "UInt8", "m_Enabled", 1, 0, 0x4000), *pptr_nodes("m_Script"), (1, "string", "m_Name", -1, 0, 0x4000), (2, "Array", "Array", -1, 1, 0), (3, "int", "size", 4, 0, 0), (3, "char", "data", 1, 0, 0)]
+    data = make.serialized([(5, 114, behaviour), (9, 115, script)], trees={114: mono, 115: tree})
+    got = Engine.of(spark, [("m", data)]).catalog.scripts().collect()
+    assert [(r["path_id"], r["name"], r["class_name"], r["namespace"], r["assembly"]) for r in got] == [(5, "Walker", "Walker", "game", "Assembly-CSharp.dll")]
+
+
+def pptr_nodes(name):
+    return [(1, "PPtr<Object>", name, 12, 0, 0), (2, "int", "m_FileID", 4, 0, 0), (2, "SInt64", "m_PathID", 8, 0, 0)]
+
+
+def test_commands(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "s.assets").write_bytes(scene_file())
+    out = io.StringIO()
+    assert command.run(spark, ["scene", str(tmp_path / "in")], out) == 0
+    assert out.getvalue().splitlines() == ["alone", "root", "  left", "  right"]
+    assert command.run(spark, ["export", str(tmp_path / "in"), str(tmp_path / "out"), "--class-id", "1"], out := io.StringIO()) == 0
+    assert out.getvalue().startswith("exported\t4\t") and len(list((tmp_path / "out/class_1").iterdir())) == 4
+    (tmp_path / "in" / "bad").write_bytes(b"UnityFS\0x")
+    assert command.run(spark, ["info", str(tmp_path / "in")], io.StringIO()) == 3
