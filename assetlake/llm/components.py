@@ -31,4 +31,6 @@ def components(edges: DataFrame) -> DataFrame:
         if before == now:
             break
         before = now
+    else:
+        raise RuntimeError(f"components don't settle in {ROUNDS} rounds")
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -164,6 +164,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     named = materialize(grouped.join(least, "component").select(F.col("node").alias("fp"), "component_id"))
     final = classes.join(named, "fp", "left").select("fp", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    final = materialize(final)  # so that the join can split a fingerprint that very many documents share
     return printed.join(final, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
