@@ -28,7 +28,7 @@ def arguments(args: list[str]) -> argparse.Namespace:
             command.add_argument("out")
             command.add_argument("--overwrite", action="store_true")
         if name == "export":
-            command.add_argument("--mode", choices=("json", "raw", "text"), default="json")
+            command.add_argument("--mode", choices=("json", "raw", "text", *sinks.MEDIA), default="json")
             command.add_argument("--class-id", type=int, action="append")
     return parser.parse_args(args)
 

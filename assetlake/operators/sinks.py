@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetlake.functions import text
+from assetlake.operators import assets
 from assetlake.operators.naming import claim_all
 from assetlake.sources.catalog import Catalog
 
+#: Media that an export makes: from which objects, and the files' extension.
+MEDIA = {"png": ".png", "bmp": ".bmp", "tga": ".tga", "qoi": ".qoi", "wav": ".wav", "obj": ".obj"}
 REPORT = "path string, bytes long, outcome string, message string"
 MAXIMUM_NAME = 240
 
@@ -61,8 +64,13 @@ def write_files(rows: DataFrame, folder: str, overwrite: bool = False) -> DataFr
     return rows.select("path", "content").mapInPandas(run, REPORT)
 
 
+def media(catalog: Catalog, mode: str) -> DataFrame:
+    """Textures as images, sounds as WAV, or meshes as OBJ, each with its error's family if it has one."""
+    return assets.sounds(catalog) if mode == "wav" else assets.meshes(catalog) if mode == "obj" else assets.textures(catalog, mode)
+
+
 def export_rows(catalog: Catalog, mode: str = "json", class_ids: list[int] | None = None) -> DataFrame:
-    """(path, content): each object as its raw bytes or as JSON, or text assets as their text, named by
+    """(path, content): each object as its raw bytes or as JSON, text assets as their text, or media, named by
     class and by object, with a suffix for later claimants of a name in a folder."""
     names = catalog.names() if class_ids is None else catalog.names().filter(F.col("class_id").isin(class_ids))
     if mode == "raw":
@@ -73,6 +81,8 @@ def export_rows(catalog: Catalog, mode: str = "json", class_ids: list[int] | Non
         script = F.from_json("value", "m_Script array<int>")["m_Script"]
         data = F.unhex(F.array_join(F.transform(script, lambda b: F.lpad(F.hex(b), 2, "0")), ""))
         content, extension = catalog.values([49]).filter("value is not null").select("file", "path_id", data.alias("content")), ".txt"
+    elif mode in MEDIA:
+        content, extension = media(catalog, mode).filter("content is not null").select("file", "path_id", "content"), MEDIA[mode]
     else:
         raise ValueError(f"mode {mode}")
     joined = names.join(content, ["file", "path_id"])
@@ -91,7 +101,8 @@ def export(catalog: Catalog, folder: str, mode: str = "json", class_ids: list[in
     done = write_files(export_rows(catalog, mode, class_ids), folder, overwrite)
     if mode == "raw":
         return done
-    failed = catalog.values(class_ids if mode == "json" else [49]).filter("message is not null")
+    failed = media(catalog, mode) if mode in MEDIA else catalog.values(class_ids if mode == "json" else [49])
+    failed = failed.filter("message is not null")
     return done.unionByName(failed.select(F.concat_ws("#", "file", "path_id").alias("path"), F.lit(0).cast("long").alias("bytes"), F.when(F.col("family") == "unsupported", "unsupported").otherwise("failed").alias("outcome"), "message"))
 
 
