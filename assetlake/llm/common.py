@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles at once (a longer text is a block of its own).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 
 
 # ---------------------------------------------------------------- shared storage
@@ -148,7 +148,11 @@ class Block:
         n = len(self.data)
         up, down = powers(n + 1)
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
+        sums = total[1:]  # in place: a block's sums are eight times its bytes
+        sums[:] = self.data
+        sums += np.uint64(1)
+        sums *= up[:n]
+        np.cumsum(sums, out=sums)
         return mix((total[self.last] - total[self.first]) * down[self.first])
 
     def word(self, i: int) -> bytes:

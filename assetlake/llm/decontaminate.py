@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from assetlake.llm.common import ALNUM, Block, blocks, raw
+from assetlake.llm.common import ALNUM, BLOCK_BYTES, Block, blocks, raw
 
 WINDOW = 10
 #: Bytes of benchmark text that one broadcast holds; more text is searched in several blocks.
 TEST_BYTES = 32 << 20
 #: Bytes of training text in a shard.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = BLOCK_BYTES
 MATCH = pa.struct([("item_id", pa.string()), ("doc_pos", pa.int64()), ("item_pos", pa.int64()), ("length", pa.int64())])
 RESULT = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("matches", pa.list_(MATCH))])
 SCHEMA = "struct<n_words: long, n_hit: long, items: array<string>, matches: array<struct<item_id: string, doc_pos: long, item_pos: long, length: long>>>"

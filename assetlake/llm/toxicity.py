@@ -25,7 +25,7 @@ from assetlake.llm.common import bounded_sample, remainder
 #: Labelled rows that training reads at most, half of each label.
 SAMPLE = 6000
 #: Restored words that a worker remembers.
-MEMORY = 500_000
+MEMORY = 300_000
 #: Word beginnings that carry evidence, besides the whole word: their lengths.
 BEGINNINGS = range(4, 9)
 #: Pseudo-documents of the evidence ratio, and toxic documents that a feature needs.
