@@ -227,3 +227,21 @@ def test_a_passage_beside_partial_holders_is_found(spark):
     texts = [(1, new(30) + p[:35] + new(40)), (2, new(25) + p + new(25)), (3, new(50) + p + new(10)), (4, p[:20] + new(30) + p[40:] + new(5))]
     got = passages.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string").coalesce(1))
     assert {frozenset((x["doc_id"], x["rep_id"])) for x in got.collect()} == {frozenset((2, 3))}
+
+
+def edited(words, new, every):
+    """One word replaced in each run of `every`: the last one, so that no longer runs are left."""
+    return [new(1)[0] if i % every == every - 1 else w for i, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("every", [5, 6, 8, 10, 12])
+def test_passages_with_edits_are_found(spark, every):
+    r = random.Random(every)
+    fresh = iter(range(10**6))
+    new = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    texts = []
+    for i in range(40):
+        p = new(60)
+        texts += [(2 * i, new(r.randrange(30)) + p + new(20)), (2 * i + 1, new(r.randrange(30)) + edited(p, new, every) + new(20))]
+    got = passages.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string"))
+    assert {frozenset((x["doc_id"], x["rep_id"])) for x in got.collect()} == {frozenset((2 * i, 2 * i + 1)) for i in range(40)}
