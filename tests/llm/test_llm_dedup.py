@@ -245,3 +245,14 @@ def test_passages_with_edits_are_found(spark, every):
         texts += [(2 * i, new(r.randrange(30)) + p + new(20)), (2 * i + 1, new(r.randrange(30)) + edited(p, new, every) + new(20))]
     got = passages.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string"))
     assert {frozenset((x["doc_id"], x["rep_id"])) for x in got.collect()} == {frozenset((2 * i, 2 * i + 1)) for i in range(40)}
+
+
+@pytest.mark.parametrize("holders", [1, 12])
+def test_copies_after_partial_holders_are_found(spark, holders):
+    fresh = iter(range(10**6))
+    new = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    p = new(65)
+    parts = [new(5) + p[:45] + new(5) for _ in range(holders)] + [new(5) + p[20:] + new(5) for _ in range(holders)]
+    texts = list(enumerate([*parts, new(9) + p + new(9), new(3) + p + new(7)]))
+    got = passages.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string").coalesce(1))
+    assert frozenset((2 * holders, 2 * holders + 1)) in {frozenset((x["doc_id"], x["rep_id"])) for x in got.collect()}
