@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -15,28 +16,60 @@ BLOCK_BYTES = 3 << 20
 
 
 # ---------------------------------------------------------------- shared storage
+#: Folders that materialize() wrote, by application and thread, the latest last.
+_tables: dict[tuple[str, int], list[str]] = {}
+
+
+def _own(spark: SparkSession) -> list[str]:
+    return _tables.setdefault((spark.sparkContext.applicationId, threading.get_ident()), [])
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; its own one only where the session names none."""
+    """The folder that driver and executors share. Only a session on a single machine may go without the
+    setting, and gets a folder of its own; a cluster that names none is refused."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master or ""
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file:///tmp/assetlake-checkpoint"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends, lost executors cost nothing."""
+    """Write df as a table in the shared folder and read it again: lineage ends, lost executors cost nothing.
+
+    Columns are written by their place, so that names may clash. The table goes with the application
+    at the latest (see release)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    plain.write.option("compression", "zstd").parquet(path)
+    _own(spark).append(path)
+    files, place = _file_system(spark, path)
+    files.deleteOnExit(place)
+    return spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+
+
+def written(spark: SparkSession) -> int:
+    """How many tables of this thread there are now."""
+    return len(_own(spark))
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table that materialize() wrote for this application."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def release(spark: SparkSession, first: int = 0, last: int | None = None) -> None:
+    """Delete the tables that materialize() wrote in this thread, from the `first` to before the `last`; their
+    frames can't be read any more."""
+    tables = _own(spark)
+    for path in tables[first:last]:
+        files, place = _file_system(spark, path)
+        files.delete(place, True)
+    del tables[first:last]
 
 
 def join_small(left: DataFrame, right: DataFrame, on, how: str, rows: int, most: int = 200_000) -> DataFrame:
@@ -45,6 +78,34 @@ def join_small(left: DataFrame, right: DataFrame, on, how: str, rows: int, most:
 
 
 # ---------------------------------------------------------------- columns
+def _place(docs: DataFrame, name: str) -> int:
+    """The column of exactly this name, else of this name in another case."""
+    if name in docs.columns:
+        return docs.columns.index(name)
+    same = [i for i, c in enumerate(docs.columns) if c.lower() == name.lower()]
+    if len(same) != 1:
+        raise ValueError(f"no column {name} among {docs.columns}")
+    return same[0]
+
+
+def pick(docs: DataFrame, **wanted: str) -> DataFrame:
+    """The named columns under new names. They are told apart by their place, so names that differ in case
+    alone, that repeat or that hold dots do no harm."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.select(*[F.col(f"c{_place(docs, name)}").alias(alias) for alias, name in wanted.items()])
+
+
+def pack(docs: DataFrame, **wanted: str) -> DataFrame:
+    """Whole rows as the struct _row, its fields named by place, beside the named columns under new names."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.select(F.struct(*plain.columns).alias("_row"), *[F.col(f"c{_place(docs, name)}").alias(alias) for alias, name in wanted.items()])
+
+
+def unpack(packed: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows that pack() packed, with their own names."""
+    return packed.select("_row.*").toDF(*docs.columns)
+
+
 def text_of(column: Column | str) -> Column:
     """Null counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
@@ -60,21 +121,17 @@ def unit(column: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(column, F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
-def bounded_sample(df: DataFrame, stratum: Column, key: Column, bound: int, seed: int = 7) -> DataFrame:
-    """About `bound` rows at most, dealt evenly over the strata, chosen by a hash of the key.
+def bounded_sample(df: DataFrame, stratum: str, key: str, bound: int, seed: int = 7) -> DataFrame:
+    """Rows whose key falls under their stratum's rate: about `bound` distinct keys at most, dealt evenly over the strata.
 
-    One aggregate counts the strata; the filter that follows needs no shuffle. The expected
-    size is at most `bound`, so the result is safe to collect.
+    One aggregate counts the strata; their rates are joined back, however many they are. Rows that
+    share a key are drawn together, so a caller that collects must first reduce them to one a key.
     """
-    counts = df.groupBy(stratum.alias("_stratum")).count().collect()
-    share = bound / max(1, len(counts))
-    rates = {r["_stratum"]: min(1.0, share / max(1, r["count"])) for r in counts}
-    if all(rate >= 1.0 for rate in rates.values()):
-        return df
-    keep = F.lit(False)
-    for value, rate in sorted(rates.items(), key=lambda x: str(x[0])):
-        keep = keep | (stratum.eqNullSafe(F.lit(value)) & (unit(key, seed) < F.lit(rate)))
-    return df.filter(keep)
+    counts = materialize(df.groupBy(F.col(stratum).alias("_stratum")).agg(F.count(F.lit(1)).alias("_rows")))
+    strata = counts.count()
+    rates = counts.select("_stratum", (F.lit(bound / max(1, strata)) / F.col("_rows")).alias("_rate"))
+    kept = join_small(df, rates, F.col(stratum).eqNullSafe(F.col("_stratum")), "inner", strata)
+    return kept.filter((F.col("_rate") >= 1) | (unit(F.col(key), seed) < F.col("_rate"))).drop("_stratum", "_rate")
 
 
 # ---------------------------------------------------------------- text blocks

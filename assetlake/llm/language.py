@@ -137,7 +137,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     `bound` of them at most, PER_ROW windows of each, from places all over the text."""
     slim = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"), docs[lang_col].cast("string").alias("_lang"))
     usable = slim.filter(F.col("_lang").isNotNull() & (F.length("_text") > 0) & (remainder(F.col("_id"), 3) != 1))
-    drawn = bounded_sample(usable, F.col("_lang"), F.col("_id"), bound)
+    drawn = bounded_sample(usable, "_lang", "_id", bound)
     cuts = [F.substring("_text", F.lit(1) + F.pmod(F.xxhash64("_id", F.lit(k)), F.greatest(F.lit(1), F.length("_text") - WINDOW)).cast("int"), F.lit(WINDOW)) for k in range(PER_ROW)]
     rows = sorted((r["_lang"], i, c) for r in drawn.select("_lang", F.col("_id").cast("string").alias("i"), F.array(*cuts).alias("c")).collect() for i, c in [(r["i"] or "", r["c"])])
     if not rows:

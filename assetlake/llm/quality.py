@@ -53,7 +53,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     labels of an id the largest counts."""
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull() & (remainder(F.col(id_col), 5) != 0))
     usable = usable.groupBy(F.col(id_col).alias("_id")).agg(F.max("quality").alias("quality"))
-    good = bounded_sample(usable.filter("quality = 1"), F.lit(1), F.col("_id"), bound).select("_id", F.lit(True).alias("_good"))
+    good = bounded_sample(usable.filter("quality = 1"), "quality", "_id", bound).select("_id", F.lit(True).alias("_good"))
     share = usable.agg(F.avg("quality")).first()[0]
     slim = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text")).join(F.broadcast(good), "_id", "left")
     counts = slim.select("_text", F.coalesce("_good", F.lit(False)).alias("_good")).mapInArrow(_count, "bucket long, raw long, target long")

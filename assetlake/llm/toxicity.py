@@ -258,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & (remainder(F.col(id_col), 5) != 0))
     usable = usable.groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
-    drawn = bounded_sample(usable, F.col("toxic"), F.col("_id"), bound)
+    drawn = bounded_sample(usable, "toxic", "_id", bound)
     slim = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
     rows = slim.join(F.broadcast(drawn), "_id").select("_id", "_text", "toxic").collect()
     rows.sort(key=lambda r: (r["_id"], r["_text"] or ""))

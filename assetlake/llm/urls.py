@@ -195,7 +195,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = slim.select("*", name.alias("rule"), verdict.alias("given"))
     labelled = ruled.filter("given is not null").select("url", (F.col("given") == "block").cast("int").alias("y"))
-    model = train(bounded_sample(labelled, F.col("y"), F.col("url"), bound))
+    model = train(bounded_sample(labelled, "y", "url", bound))
     features = model.columns(F.col("url"), F.col("host"), F.col("path"))
     featured = ruled.select("page_id", "host", "path", "rule", "given", *[c.alias(f"_{k}") for k, c in features.items()])
     p = 1 / (1 + F.exp(-model.score({k: F.col(f"_{k}") for k in features})))

@@ -256,3 +256,98 @@ def test_copies_after_partial_holders_are_found(spark, holders):
     texts = list(enumerate([*parts, new(9) + p + new(9), new(3) + p + new(7)]))
     got = passages.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string").coalesce(1))
     assert frozenset((2 * holders, 2 * holders + 1)) in {frozenset((x["doc_id"], x["rep_id"])) for x in got.collect()}
+
+
+def fresh_words():
+    fresh = iter(range(10**7))
+    return lambda n: [f"u{next(fresh)}" for _ in range(n)]
+
+
+def test_long_texts_that_share_many_runs(spark):
+    new, a, b = fresh_words(), [], []
+    for _ in range(1300):
+        run = new(30)
+        a += run + new(34)
+        b += run + new(34)
+    p = new(80)
+    a[40_000:40_000], b[50_000:50_000] = p, p
+    got = passages.repeated_passages(spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(a[:40_000]))], "doc_id long, text string")).collect()
+    spans = {frozenset((x["doc_id"], x["rep_id"])) for x in got}
+    assert spans == {frozenset((1, 2)), frozenset((1, 3))}
+    whole = next(x for x in got if {x["doc_id"], x["rep_id"]} == {1, 3})
+    assert whole["matched"] == 40_000 and whole["identity"] == 1.0
+
+
+def test_heavy_seeds_still_connect_all_holders(spark):
+    new = fresh_words()
+    line, p = new(12), new(70)
+    texts = [(i, new(20) + line + new(20) + (p if i % 2 else new(10)) + new(5)) for i in range(80)]
+    got = passages.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string").repartition(3), heavy=20).collect()
+    found = {x["doc_id"] for x in got} | {x["rep_id"] for x in got}
+    assert found == set(range(1, 80, 2))
+    label = brute_components(found, [(x["doc_id"], x["rep_id"]) for x in got])
+    assert len(set(label.values())) == 1 and len(got) < 40 * 6
+
+
+def longest_common(a, b):
+    table = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, table[j + 1] = table[j + 1], last + 1 if x == y else max(table[j + 1], table[j])
+    return table[-1]
+
+
+@pytest.mark.parametrize("rate", [0.05, 0.1, 0.15])
+def test_recall_of_passages_with_random_edits(spark, rate):
+    r, new = random.Random(int(rate * 100)), fresh_words()
+    texts, wanted = [], set()
+    for i in range(120):
+        p, q = new(60), []
+        for w in p:
+            kind = r.random()
+            q += [] if kind < rate / 3 else new(1) if kind < 2 * rate / 3 else [w, *new(1)] if kind < rate else [w]
+        if 2 * longest_common(p, q) >= 0.8 * (len(p) + len(q)) and len(q) >= 54:
+            wanted.add(frozenset((2 * i, 2 * i + 1)))
+        texts += [(2 * i, new(30) + p + new(20)), (2 * i + 1, new(10) + q + new(25))]
+    got = passages.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string"))
+    found = {frozenset((x["doc_id"], x["rep_id"])) for x in got.collect()}
+    assert all(min(x) // 2 == max(x) // 2 for x in found)
+    assert len(found & wanted) >= 0.95 * len(wanted) and len(wanted) > 60
+
+
+def test_passages_cover_every_repeated_window(spark):
+    """Against brute force: each document with 50 words in a row that another has is found."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    windows = {}
+    for x in docs.collect():
+        words = (x["text"] or "").encode().lower().split()
+        for i in range(len(words) - 49):
+            windows.setdefault(b" ".join(words[i : i + 50]), set()).add(x["doc_id"])
+    wanted = {i for v in windows.values() if len(v) > 1 for i in v}
+    got = passages.repeated_passages(docs).collect()
+    assert wanted <= {x["doc_id"] for x in got} | {x["rep_id"] for x in got}
+    words = {x["doc_id"]: (x["text"] or "").encode().lower().split() for x in docs.collect()}
+    for x in got:
+        a, b = words[x["doc_id"]][x["start"] : x["end"]], words[x["rep_id"]][x["rep_start"] : x["rep_end"]]
+        assert len(a) >= 50 and x["identity"] >= 0.8 and 2 * longest_common(a, b) >= 2 * x["matched"] > 0
+
+
+def test_passages_of_odd_rows(spark):
+    p = " ".join(f"w{i}" for i in range(60))
+    schema = "doc_id long, TEXT string, text string, `a.b` string"
+    docs = spark.createDataFrame([(1, "x", p, "y"), (1, "x", p, "y"), (2, None, None, None), (3, "x", p.upper(), "z"), (4, "", "", "")], schema)
+    got = {(x["doc_id"], x["rep_id"]) for x in passages.repeated_passages(docs).collect()}
+    assert got and {frozenset(x) for x in got} == {frozenset((1, 3))}
+
+
+def test_maximal_stretches():
+    def brute(scores, lo, hi):
+        spans = [(sum(scores[i:j]), -i, -j) for i in range(lo, hi) for j in range(i + 1, hi + 1)]
+        total, i, j = max(spans, default=(0, 0, 0))
+        return [*brute(scores, lo, -i), (-i, -j), *brute(scores, -j, hi)] if total > 0 else []
+
+    r = random.Random(11)
+    for _ in range(200):
+        scores = [r.choice((-3, -2, -1, 1, 2, 4)) + r.random() for _ in range(r.randrange(12))]
+        assert passages.maximal(scores) == brute(scores, 0, len(scores))
