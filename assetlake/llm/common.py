@@ -220,7 +220,7 @@ def grams(h: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     """Hashes of k consecutive words that start at each word, and whether all k lie in one text."""
     n = len(h)
     out, ends = h.copy(), np.repeat(bounds[1:], np.diff(bounds))
-    for j in range(1, k):
+    for j in range(1, min(k, n)):
         out[: n - j] = out[: n - j] * np.uint64(0x2545F4914F6CDD1D) + h[j:]
     return mix(out), np.arange(n) + k <= ends
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetlake.llm.common import join_small, materialize, text_of
+from assetlake.llm.common import join_small, materialize, pack, pick, text_of, unpack
 
 #: Fingerprints that a partition gathers before it closes its filters, and those meant for a shard.
 FLUSH, PER_SHARD = 4_000_000, 1 << 17
@@ -153,7 +153,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     alike (deduplicate() leaves one). An empty table gives an empty result; other columns, of
     whatever name, are not read.
     """
-    packed = docs.select(docs[id_col].alias("_id"), text_of(docs[text_col]).alias("_text")).withColumn("_fp", F.xxhash64("_text"))
+    packed = pick(docs, _id=id_col, _text=text_col).select("_id", text_of("_text").alias("_text")).withColumn("_fp", F.xxhash64("_text"))
     _, groups, _ = _verified(packed, (F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     groups = groups.select("_fp", F.sha2(F.col("_text").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size")
     every = packed.select(F.col("_id").alias("doc_id"), "_fp", F.sha2(F.col("_text").cast("binary"), 256).alias("text_sha256"))
@@ -167,8 +167,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows that also share the id are told apart by nothing: exactly one of them stays.
     """
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_id"), text_of(docs[text_col]).alias("_text")).withColumn("_fp", F.xxhash64("_text"))
+    packed = pack(docs, _id=id_col, _text=text_col).select("_row", "_id", text_of("_text").alias("_text")).withColumn("_fp", F.xxhash64("_text"))
     best = F.max_by("_row", F.struct(F.col("_id").isNotNull().alias("a"), F.col("_id").alias("b"))).alias("_row")
     repeated, groups, n = _verified(packed, (best,))
     single = join_small(packed, repeated.select(F.col("fp").alias("_fp")), "_fp", "left_anti", n)
-    return single.select("_row").unionByName(groups.select("_row")).select("_row.*")
+    return unpack(single.select("_row").unionByName(groups.select("_row")), docs)

@@ -11,14 +11,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from assetlake.llm.common import join_small, materialize
+from assetlake.llm.common import NOT_SPACE, blocks, grams, join_small, materialize, mix, pack, pick, text_of, unpack
 from assetlake.llm.components import components
 
-SHINGLE, RADIUS, SEED, TILE = 3, 3, 42, 512
-#: Shingle hashes whose bits are counted at once.
-CHUNK = 1 << 16
+SHINGLE, RADIUS, SEED, TILE = 3, 3, 42, 64
+#: Shingle hashes whose bits are counted at once, and tile pairs that are compared at once.
+CHUNK, SLAB = 1 << 16, 128
+#: Rows of a bucket that one task compares; a larger bucket is dealt as pairs of parts.
+PER_TASK = 1 << 14
+#: Near copies of whole texts: words in a shingle, and the least similarity.
+LONG_SHINGLE, SIMILARITY = 5, 0.8
+#: Bits by which the fingerprints of sets of that similarity may differ; 10 of 64 are to be expected at 0.8.
+LOOSE = 24
+#: Cells of the table that tells frequent shingles from others, and cells of a slice of it.
+CELLS, SLICE = 1 << 18, 1 << 12
+#: Sets of a component that are compared whole at once.
+SETS = 256
 
 
+# ---------------------------------------------------------------- fingerprints
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The unsigned fingerprint of one text; 0 for null or a text without words."""
     words = (text or "").encode().lower().split()
@@ -35,12 +46,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     ones, n = np.zeros(64, np.int64), len(starts)
     for a in range(0, n, CHUNK):
         hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[a : a + CHUNK], ends[shingle - 1 + a : shingle - 1 + a + CHUNK])], "<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        for b in range(0, len(bits), 255):  # sums of up to 255 bits fit a byte
-            ones += bits[b : b + 255].sum(axis=0, dtype=np.uint8)
+        ones += ones_of(hashes)
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def ones_of(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits."""
+    bits, ones = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), np.zeros(64, np.int64)
+    for b in range(0, len(bits), 255):  # sums of up to 255 bits fit a byte
+        ones += bits[b : b + 255].sum(axis=0, dtype=np.uint8)
+    return ones
+
+
 def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
     """The fingerprint as a signed long of the same bits."""
 
@@ -52,6 +69,7 @@ def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
     return run(text)
 
 
+# ---------------------------------------------------------------- tiles
 def _forest(i: np.ndarray, j: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Labels after joining the classes of each pair: the least label of what is reachable."""
     while True:
@@ -65,68 +83,103 @@ def _forest(i: np.ndarray, j: np.ndarray, label: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def tiled(values: np.ndarray, radius: int = RADIUS, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (values, values) that span the same components as all pairs within the radius.
+def tiled(bucket: np.ndarray, value: np.ndarray, radius: int = RADIUS, size: np.ndarray | None = None, ratio: float = 0.0, tile: int = TILE, verify=None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, row) that span the same components as all pairs of a bucket within the radius.
 
-    The values are sorted by population count and cut into tiles; a pair of tiles whose counts
-    differ beyond the radius is skipped, any other is compared whole by exclusive-or and bit counts.
+    Rows are sorted by bucket and population count and cut into tiles. A pair of tiles that have no
+    bucket in common, or whose counts differ beyond the radius, is skipped; any other is compared whole
+    by exclusive-or and bit counts. size: of any pair, the smaller must be `ratio` of the larger at
+    least. verify: tells for arrays of rows whether a pair that fits is a link indeed.
     """
-    ones = np.bitwise_count(values)
-    order = np.argsort(ones, kind="stable")
-    values, ones = values[order], ones[order].astype(int)
-    label = np.arange(len(values))
-    for a in range(0, len(values), tile):
-        top = ones[min(a + tile, len(values)) - 1]
-        for b in range(a, len(values), tile):
-            if ones[b] - top > radius:
-                break  # so is every later tile
-            i, j = np.nonzero(np.bitwise_count(values[a : a + tile, None] ^ values[None, b : b + tile]) <= radius)
-            i, j = i + a, j + b
-            differ = (i < j) & (label[i] != label[j])
+    n = len(value)
+    ones = np.bitwise_count(value).astype(np.int64)
+    order = np.lexsort((value, ones, bucket))
+    tiles = -(-n // tile)
+    spare = tiles * tile - n
+    b = np.r_[bucket[order], np.arange(-spare, 0) + (bucket.min(initial=0) - 1)].reshape(tiles, tile) if n else np.zeros((0, tile), np.int64)
+    v = np.r_[value[order], np.zeros(spare, value.dtype)].reshape(tiles, tile)
+    o = np.r_[ones[order], np.zeros(spare, np.int64)].reshape(tiles, tile)
+    s = None if size is None else np.r_[size[order], np.zeros(spare, size.dtype)].reshape(tiles, tile).astype(np.float64)
+    label, apart = np.arange(n), 0
+    left = np.arange(tiles)
+    while len(left):
+        for at in range(0, len(left), SLAB):
+            x = left[at : at + SLAB]
+            y = x + apart
+            near = (np.bitwise_count(v[x][:, :, None] ^ v[y][:, None, :]) <= radius) & (b[x][:, :, None] == b[y][:, None, :])
+            if s is not None:
+                p, q = s[x][:, :, None], s[y][:, None, :]
+                near &= np.minimum(p, q) >= ratio * np.maximum(p, q)
+            t, i, j = np.nonzero(near)
+            i, j = x[t] * tile + i, y[t] * tile + j
+            real = (i < j) & (j < n)
+            i, j = i[real], j[real]
+            if verify is not None:
+                for k, m in zip(i.tolist(), j.tolist()):  # only what joins two classes is verified
+                    if label[k] != label[m] and verify(order[k], order[m]):
+                        label = _forest(np.array([k]), np.array([m]), label)
+                continue
+            differ = label[i] != label[j]
             if differ.any():
                 label = _forest(i[differ], j[differ], label)
-    own = np.flatnonzero(label != np.arange(len(values)))
-    return values[own], values[label[own]]
-
-
-def _edges(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Compare the values of each bucket; rows come sorted by bucket."""
-    kept_bucket, kept = None, []
-
-    def compare(bucket: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-        a, b = [], []
-        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-        sizes = np.diff(cuts)
-        few = np.repeat(sizes <= 8, sizes)
-        small_b, small_v = bucket[few], value[few]
-        for d in range(1, 8):  # buckets of up to eight: each value with its d-th next, all buckets at once
-            same = small_b[d:] == small_b[:-d]
-            hit = np.flatnonzero(same)[np.bitwise_count(small_v[d:][same] ^ small_v[:-d][same]) <= radius]
-            a.append(small_v[d:][hit])
-            b.append(small_v[:-d][hit])
-        for k in np.flatnonzero(sizes > 8):
-            x, y = tiled(value[cuts[k] : cuts[k + 1]], radius)
-            a.append(x)
-            b.append(y)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
+        apart += 1
+        left = left[left + apart < tiles]
+        left = left[(b[left, -1] == b[left + apart, 0]) & (o[left + apart, 0] - o[left, -1] <= radius)]
+    own = np.flatnonzero(label != np.arange(n))
+    return order[own], order[label[own]]
+
+
+def _to_least(i: np.ndarray, j: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that form stars as pairs (node, least node of its star)."""
+    least = node.copy()
+    np.minimum.at(least, j, node[i])
+    centre = least[j]
+    a, b = np.r_[node[i], node[j]], np.r_[centre, least[j]]
+    differ = a != b
+    return a[differ], b[differ]
+
+
+def _edges(batches: Iterator[pa.RecordBatch], radius: int, ratio: float) -> Iterator[pa.RecordBatch]:
+    """Compare the rows (bucket, node, fp, size) of each bucket; rows come sorted by bucket."""
+    kept: list[np.ndarray] | None = None
+
+    def compare(bucket, node, fp, size) -> pa.RecordBatch:
+        i, j = tiled(bucket, fp.view(np.uint64), radius, size, ratio)
+        a, b = _to_least(i, j, node)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     for batch in batches:
-        bucket, value = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        value = value.astype(np.int64).view(np.uint64)
-        if kept:
-            bucket, value = np.r_[np.full(sum(map(len, kept)), kept_bucket), bucket], np.concatenate([*kept, value])
-            kept = []
-        if not len(bucket):
+        rows = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+        if kept is not None:
+            rows = [np.r_[x, y] for x, y in zip(kept, rows)]
+        if not len(rows[0]):
             continue
-        cut = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on in the next batch
-        kept_bucket, kept = bucket[-1], [value[cut:]]
+        cut = int(np.flatnonzero(rows[0] == rows[0][-1])[0])  # the last bucket may go on in the next batch
+        kept = [x[cut:] for x in rows]
         if cut:
-            yield compare(bucket[:cut], value[:cut])
-    if kept:
-        yield compare(np.full(sum(map(len, kept)), kept_bucket), np.concatenate(kept))
+            yield compare(*[x[:cut] for x in rows])
+    if kept is not None:
+        yield compare(*kept)
+
+
+def compared(rows: DataFrame, radius: int, ratio: float = 0.0, per_task: int = PER_TASK) -> DataFrame:
+    """Edges (a, b) that span the components of the rows (bucket, node, fp, size) that share a bucket and fit.
 
+    A bucket of more than per_task rows is cut into parts by a hash of the node, and each pair of
+    parts is a bucket of its own, so no task holds more than twice as many."""
+    large = materialize(rows.groupBy("bucket").count().filter(F.col("count") > per_task))
+    n = large.count()
+    if n:
+        parts = F.ceil(F.col("count") / per_task).cast("int")
+        part = F.pmod(F.xxhash64("node"), parts).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.xxhash64(F.col("bucket"), F.least(k, part), F.greatest(k, part)))
+        split = F.when(F.col("count").isNull(), F.array("bucket")).otherwise(pairs)
+        rows = join_small(rows, large, "bucket", "left", n).select(F.explode(split).alias("bucket"), "node", "fp", "size")
+    dealt = rows.select("bucket", "node", "fp", "size").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(lambda it: _edges(it, radius, ratio), "a long, b long").distinct()
 
-def links(values: DataFrame, radius: int = RADIUS) -> DataFrame:
+
+def links(values: DataFrame, radius: int = RADIUS, per_task: int = PER_TASK) -> DataFrame:
     """Edges (a, b) that span the components of distinct long values (column fp) within 3 differing bits.
 
     Which tiles can hold a pair: of four 16-bit parts one is equal in any pair within radius 3,
@@ -144,9 +197,8 @@ def links(values: DataFrame, radius: int = RADIUS) -> DataFrame:
         high = F.shiftrightunsigned(fp, 16 * p + 16) if p < 3 else F.lit(0).cast("long")
         rest = F.shiftleft(high, 16 * p).bitwiseOR(low)
         keys += [(F.lit((p * 4 + s) << 28) + F.shiftleft(key, 12) + bits(rest, 12 * s, 12)).cast("long") for s in range(4)]
-    dealt = values.select(F.explode(F.array(*keys)).alias("bucket"), "fp")
-    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(lambda it: _edges(it, radius), "a long, b long").distinct()
+    dealt = values.select(F.explode(F.array(*keys)).alias("bucket"), F.col("fp").alias("node"), "fp", F.lit(1).alias("size"))
+    return compared(dealt, radius, per_task=per_task)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -156,7 +208,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows share a component; a null id never names one unless all ids of the component
     are null. Other columns are not read; an empty table gives an empty result.
     """
-    printed = materialize(docs.select(docs[id_col].alias("doc_id"), fingerprints(docs[text_col], shingle).alias("fp")))
+    slim = pick(docs, doc_id=id_col, text=text_col)
+    printed = materialize(slim.select("doc_id", fingerprints(F.col("text"), shingle).alias("fp")))
     # a fingerprint stands for all its documents: copies are linked by it, not in pairs
     classes = materialize(printed.groupBy("fp").agg(F.min("doc_id").alias("least")))
     grouped = materialize(components(links(classes.select("fp"), radius)))
@@ -168,12 +221,208 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return printed.join(final, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# ---------------------------------------------------------------- near copies of whole texts
+def shingles(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For blocks of texts (first text, hashes, bounds): the distinct hashes of each text's shingles of k words,
+    ascending. A text of fewer words is one shingle; one without words has none."""
+    for at, to, block in blocks(texts, NOT_SPACE):
+        h, bounds, owner = block.hashes(), block.bounds, block.owners()
+        g, whole = grams(h, bounds, k)
+        counts = np.diff(bounds)
+        few = np.flatnonzero((counts > 0) & (counts < k))
+        lone = []
+        for i in few.tolist():
+            x = h[bounds[i] : bounds[i + 1]]
+            lone.append(int(mix(np.array([np.bitwise_xor.reduce(mix(x + np.arange(1, len(x) + 1, dtype=np.uint64)))]))[0]))
+        owner, g = np.r_[owner[whole], few], np.r_[g[whole], np.array(lone, np.uint64)]
+        order = np.lexsort((g, owner))
+        owner, g = owner[order], g[order]
+        once = np.ones(len(g), bool)
+        once[1:] = (owner[1:] != owner[:-1]) | (g[1:] != g[:-1])
+        owner, g = owner[once], g[once]
+        yield at, g, np.searchsorted(owner, np.arange(to - at + 1))
+
+
+def _cells(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """A partition's counts of hashed shingles, by slices of the table."""
+    total = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for _, g, _ in shingles(batch.column(0), k):
+            total += np.bincount((g >> np.uint64(64 - (CELLS - 1).bit_length())).astype(np.int64), minlength=CELLS)
+    parts = total.reshape(-1, SLICE)
+    used = np.flatnonzero(parts.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([parts[i].tobytes() for i in used], pa.binary())], ["slice", "counts"])
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(b, np.int64) for b in table["counts"].to_pylist())
+    return pa.table({"slice": table["slice"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def frequent(texts: DataFrame, k: int) -> np.ndarray:
+    """For each cell of hashed shingles, how often as frequent as the average it is, as a power of 2 (0 at least)."""
+    sums = texts.mapInArrow(lambda it: _cells(it, k), "slice long, counts binary").groupBy("slice").applyInArrow(_summed, "slice long, counts binary")
+    total = np.zeros((CELLS // SLICE, SLICE), np.float64)
+    for r in sums.collect():  # CELLS numbers, whatever the size of the texts
+        total[r["slice"]] = np.frombuffer(r["counts"], np.int64)
+    total = total.reshape(-1)
+    return np.floor(np.log2(np.maximum(1.0, total / max(1.0, total.mean())))).astype(np.uint8)
+
+
+SET = "struct<class: long, n: int, fp: long, tokens: binary>"
+
+
+def sets(texts: pa.Array, k: int, similarity: float, rank: np.ndarray | None) -> pa.Array:
+    """For each text: a hash of its set of shingles, its size, its fingerprint, and of its shingles those that a set
+    as similar must share one of, rare ones first; without `rank` 32 bits of all of them."""
+    out: list[tuple] = []
+    for _, g, bounds in shingles(texts, k):
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            own, n = g[a:b], b - a
+            whole = int(mix(np.array([(mix(own.copy()).sum(dtype=np.uint64) if n else np.uint64(0)) + np.uint64(n)], np.uint64)).view(np.int64)[0])
+            if rank is None:
+                out.append((whole, n, 0, (own >> np.uint64(32)).astype("<u4").tobytes()))
+                continue
+            ones = sum((ones_of(own[c : c + CHUNK]) for c in range(0, n, CHUNK)), np.zeros(64, np.int64))
+            fp = int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
+            first = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+            level = rank[(own >> np.uint64(64 - (CELLS - 1).bit_length())).astype(np.int64)]
+            out.append((whole, n, fp, own[np.argsort(level, kind="stable")[:first]].tobytes() if n else b"\0" * 8))
+    names = ("class", "n", "fp", "tokens")
+    return pa.StructArray.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names)
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (bucket, node, fp, size) for each token of each class."""
+    for batch in batches:
+        whole, n, fp = (batch.column(i).to_numpy() for i in range(3))
+        blobs = batch.column(3)
+        counts = np.array([len(x.as_buffer()) // 8 for x in blobs], np.int64)
+        for a in range(0, len(counts), 512):
+            c = counts[a : a + 512]
+            bucket = np.frombuffer(b"".join(x.as_py() for x in blobs.slice(a, 512)), "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), *[pa.array(np.repeat(x[a : a + 512], c)) for x in (whole, fp, n)]], ["bucket", "node", "fp", "size"])
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sets (sorted arrays) is reached; two empty ones are alike."""
+    if not len(a) or not len(b):
+        return len(a) == len(b)
+    common = len(np.intersect1d(a, b, assume_unique=False))
+    return common >= similarity * (len(a) + len(b) - common) - 1e-9
+
+
+def _closed(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links of the rows (bucket, node, set) of each bucket, every pair that could join two classes compared whole;
+    rows come sorted by bucket."""
+    now, nodes, own = None, [], []
+
+    def linked() -> pa.RecordBatch:
+        node, size = np.array(nodes, np.int64), np.array([len(x) for x in own])
+        same = np.zeros(len(node), np.int64)
+        i, j = tiled(same, same.view(np.uint64), 64, size, similarity, verify=lambda x, y: similar(own[x], own[y], similarity))
+        a, b = _to_least(i, j, node)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    for batch in batches:
+        for bucket, node, blob in zip(*(c.to_pylist() for c in batch.columns)):
+            if bucket != now and nodes:
+                yield linked()
+                nodes.clear()
+                own.clear()
+            now = bucket
+            nodes.append(node)
+            own.append(np.unique(np.frombuffer(blob, "<u4")))
+    if nodes:
+        yield linked()
+
+
+def similar_classes(docs: DataFrame, k: int = LONG_SHINGLE, similarity: float = SIMILARITY, loose: int = LOOSE, per_task: int = PER_TASK) -> tuple[DataFrame, DataFrame]:
+    """docs (id, key, text) as (id, key, class): texts with equal sets of shingles share a class; and
+    (class, component) of the classes that are linked to others by a similarity that is reached.
+
+    Two sets that are so similar share one of their first (1 - similarity) parts, in any order of all
+    shingles; here rare ones come first. Sets that share such a token are compared in tiles of fingerprints,
+    within a radius that hardly any similar pair exceeds, and what fits is verified by the real
+    similarity: each set with the centre of its star, and all sets of a component that thereby falls
+    apart with each other.
+    """
+    spark = docs.sparkSession
+    rank = spark.sparkContext.broadcast(frequent(docs.select("text"), k))
+
+    def column(ranked: bool) -> Column:
+        @arrow_udf(SET)
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for texts in batches:
+                yield sets(texts, k, similarity, rank.value if ranked else None)
+
+        return run(F.col("text"))
+
+    made = materialize(docs.select("id", "key", column(True).alias("s")).select("id", "key", "s.class", "s.n", "s.fp", "s.tokens"))
+    rows, tokens = made.select("id", "key", "class"), made.select("class", "n", "fp", "tokens")
+    tokens = tokens.groupBy("class").agg(*[F.first(c).alias(c) for c in ("n", "fp", "tokens")]).select("class", "n", "fp", "tokens")
+    dealt = tokens.mapInArrow(_tokens, "bucket long, node long, fp long, size int")
+    stars = materialize(compared(dealt, loose, similarity, per_task))
+    candidates = materialize(components(stars))
+    n = candidates.count()
+    if not n:
+        return rows, candidates.select(F.col("node").alias("class"), "component")
+
+    # the whole sets of the classes that may be linked
+    whole = docs.select(column(False).alias("s")).select(F.col("s.class").alias("node"), F.col("s.tokens").alias("set"))
+    whole = materialize(join_small(whole, candidates, "node", "inner", n).groupBy("node", "component").agg(F.first("set").alias("set")))
+
+    @arrow_udf("boolean")
+    def reached(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for left, right in batches:
+            yield pa.array([similar(np.unique(np.frombuffer(x.as_py(), "<u4")), np.unique(np.frombuffer(y.as_py(), "<u4")), similarity) for x, y in zip(left, right)], pa.bool_())
+
+    both = stars.join(whole.select(F.col("node").alias("a"), F.col("set").alias("left")), "a").join(whole.select(F.col("node").alias("b"), F.col("set").alias("right")), "b")
+    sure = materialize(both.filter(reached("left", "right")).select("a", "b"))
+    settled = materialize(components(sure).withColumnRenamed("component", "own"))
+    open_ = candidates.join(settled, "node", "left").groupBy("component").agg(F.count_distinct(F.coalesce("own", "node")).alias("kinds"), F.count(F.lit(1)).alias("members")).filter("kinds > 1")
+    open_ = materialize(open_.select("component", "members"))
+    m = open_.count()
+    if m:
+        parts = F.ceil(F.col("members") / SETS).cast("int")
+        part = F.pmod(F.xxhash64("node"), parts).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.xxhash64(F.col("component"), F.least(x, part), F.greatest(x, part)))
+        groups = join_small(whole, open_, "component", "inner", m).select(F.explode(pairs).alias("bucket"), "node", "set")
+        more = groups.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _closed(it, similarity), "a long, b long")
+        settled = materialize(components(sure.unionByName(more.distinct())).withColumnRenamed("component", "own"))
+    return rows, settled.select(F.col("node").alias("class"), F.col("own").alias("component"))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, all columns, whose id names their component: one document of each group stays.
+    """The rows of docs, all columns, one of each group of near copies: that of the smallest id.
 
-    A row whose id is null stays, as no id names it.
+    Near copies are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more
+    (words cut at white space, lower-cased in A-Z; a shorter text is one shingle), and groups are what
+    such links connect. Texts without words, null ones too, are copies of each other. A null id is above
+    every other; of rows that share id and text exactly one stays, whatever their other columns.
+    An empty table gives an empty result.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    gone = materialize(found.filter("doc_id <> component_id").select("doc_id").distinct())
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("doc_id"))
-    return join_small(packed, gone, "doc_id", "left_anti", gone.count()).select("_row.*")
+    key = F.xxhash64(F.col("_id").cast("string"), F.col("_text"))
+    packed = pack(docs, _id=id_col, _text=text_col).select("_row", "_id", text_of("_text").alias("_text")).withColumn("_key", key)
+    rows, grouped = similar_classes(packed.select(F.col("_id").alias("id"), F.col("_key").alias("key"), F.col("_text").alias("text")), **options)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    n = grouped.count()
+    rows = rows.join(grouped, "class", "left") if n > 200_000 else join_small(rows, grouped, "class", "left", n)
+    rows = materialize(rows.select("id", "key", F.coalesce("component", "class").alias("component")))
+    groups = rows.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    groups = materialize(groups.select("component", "first"))
+    members = join_small(rows, groups, "component", "inner", groups.count())
+    firsts = members.filter(order == F.col("first"))
+    gone = materialize(members.filter(order != F.col("first")).select(F.col("id").alias("_gone_id"), F.col("key").alias("_key")).distinct())
+    again = materialize(firsts.groupBy("id", "key").count().filter("count > 1").select(F.col("id").alias("_gone_id"), F.col("key").alias("_key")))
+    same = lambda other: (F.col("_key") == other["_key"]) & F.col("_id").eqNullSafe(other["_gone_id"])
+    few, many = again.count(), gone.count()
+    small = lambda frame, rows_: F.broadcast(frame) if rows_ <= 200_000 else frame.hint("shuffle_hash")
+    gone, again = gone.withColumnRenamed("_key", "_gone_key"), again.withColumnRenamed("_key", "_again_key").withColumnRenamed("_gone_id", "_again_id")
+    same_gone = (F.col("_key") == F.col("_gone_key")) & F.col("_id").eqNullSafe(F.col("_gone_id"))
+    left = packed.join(small(gone, many), same_gone, "left_anti")
+    if few:
+        same_again = (F.col("_key") == F.col("_again_key")) & F.col("_id").eqNullSafe(F.col("_again_id"))
+        one = left.join(small(again, few), same_again, "left_semi").groupBy("_id", "_key").agg(F.first("_row").alias("_row"))
+        left = left.join(small(again, few), same_again, "left_anti").select("_row").unionByName(one.select("_row"))
+    return unpack(left, docs)

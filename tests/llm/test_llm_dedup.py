@@ -128,9 +128,22 @@ def test_links_find_every_component(spark):
 def test_tiles_skip_no_pair():
     r = random.Random(4)
     values = np.array(sorted(near(r, r.getrandbits(64), 300, 4)), np.uint64)
-    a, b = simhash.tiled(values, 3, tile=7)
-    label = brute_components(values.tolist(), list(zip(a.tolist(), b.tolist())))
-    assert label == brute_components(values.tolist(), [(x, y) for x, y in combinations(values.tolist(), 2) if (x ^ y).bit_count() <= 3])
+    buckets = np.array([r.randrange(5) for _ in values])
+    for tile in (3, 7, 64):
+        a, b = simhash.tiled(buckets, values, 3, tile=tile)
+        label = brute_components(range(300), list(zip(a.tolist(), b.tolist())))
+        assert label == brute_components(range(300), [(x, y) for x, y in combinations(range(300), 2) if buckets[x] == buckets[y] and (int(values[x]) ^ int(values[y])).bit_count() <= 3])
+    assert len(simhash.tiled(buckets[:0], values[:0])[0]) == 0
+
+
+def test_large_buckets_are_compared_in_parts(spark):
+    r = random.Random(13)
+    values = near(r, r.getrandbits(64), 400, 3) | {r.getrandbits(64) for _ in range(100)}
+    signed = [x - (1 << 64) if x >> 63 else x for x in values]
+    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), per_task=30)
+    got = {x["node"]: x["component"] for x in components.components(edges).collect()}
+    wanted = brute_components(signed, [(a, b) for a, b in combinations(signed, 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3])
+    assert {x: got.get(x, x) for x in signed} == wanted
 
 
 def test_components_of_a_long_path(spark):
@@ -146,7 +159,82 @@ def test_simhash_of_odd_rows(spark):
     assert sorted(found, key=str) == sorted([(None, 7), (7, 7), (8, 8), (9, 8), (9, 9), (None, None)], key=str)
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     kept = simhash.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns and (8, None) in [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert kept.columns == docs.columns
+    assert sorted((x["doc_id"] or -1, x["text"] or "") for x in kept.collect()) == [(-1, "u v w"), (7, "x y z"), (8, ""), (9, "q r s t")]
+    assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def five_word_sets(texts):
+    def one(text):
+        words = (text or "").encode().lower().split()
+        return frozenset(b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+    return {i: one(t) for i, t in texts}
+
+
+def jaccard_pairs(sets):
+    return [(a, b) for a, b in combinations(sets, 2) if (len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) if sets[a] | sets[b] else True)]
+
+
+@pytest.mark.parametrize("options", [{}, {"per_task": 6}])
+def test_near_copies_leave_one_of_each_group(spark, options):
+    r = random.Random(14)
+    texts = []
+    for n in (3, 6, 12, 60, 200, 900):
+        base = [r.choice(WORDS) for _ in range(n)]
+        for _ in range(9):
+            words = list(base)
+            for _ in range(r.randrange(1 + n // 40)):
+                words[r.randrange(n)] = r.choice(WORDS)
+            base = words if r.random() < 0.4 else base  # some are near copies of near copies alone
+            texts.append(" ".join(words))
+    texts = list(enumerate([*texts, "", None, " \t", texts[20].upper(), prose(r, 4), prose(r, 500)]))
+    sets = five_word_sets(texts)
+    label = brute_components(sets, jaccard_pairs(sets))
+    docs = spark.createDataFrame(rows(texts), SCHEMA).repartition(3)
+    kept = simhash.drop_near_duplicates(docs, **options).collect()
+    assert sorted(x["doc_id"] for x in kept) == sorted(set(label.values()))
+
+
+def test_near_copies_of_the_test_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [(x["doc_id"], x["text"]) for x in docs.collect()]
+    sets = five_word_sets(texts)
+    holders = {}
+    for i, s in sets.items():
+        for x in s or {b""}:
+            holders.setdefault(x, []).append(i)
+    near_ = {p for v in holders.values() if len(v) < 200 for p in combinations(v, 2)} | {(v[0], x) for v in holders.values() for x in v[1:]}
+    pairs = [(a, b) for a, b in near_ if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    label = brute_components(sets, pairs)
+    assert sorted(x["doc_id"] for x in simhash.drop_near_duplicates(docs).collect()) == sorted(set(label.values()))
+
+
+def test_near_copies_of_rows_that_share_an_id(spark):
+    x, y = prose(random.Random(1), 80), prose(random.Random(2), 80)
+    docs = spark.createDataFrame(rows([(3, x), (5, x), (5, y), (7, prose(random.Random(3), 80)), (8, y), (8, y), (8, y)]), SCHEMA)
+    assert sorted((r["doc_id"], r["text"] == x, r["text"] == y) for r in simhash.drop_near_duplicates(docs).collect()) == [(3, True, False), (5, False, True), (7, False, False)]
+    twice = spark.createDataFrame(rows([(1, x), (1, x), (None, y), (None, y)]), SCHEMA)
+    assert sorted(str(r["doc_id"]) for r in simhash.drop_near_duplicates(twice).collect()) == ["1", "None"]
+
+
+ODD = "doc_id long, DOC_ID string, text string, Text string, `a.b` string, lang string, source string, n_chars long"
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "p", "some words here", "q", "r", "en", "s", 1), (2, "p", "some words here", "q", "r", "en", "s", 1), (3, None, None, None, None, None, None, None)], ODD)
+    assert {r["keep_id"] for r in exact.exact_duplicates(docs).collect()} == {2, 3}
+    for kept in (exact.deduplicate(docs), simhash.drop_near_duplicates(docs)):
+        assert kept.columns == docs.columns and len(kept.collect()) == 2
+    assert {r["component_id"] for r in simhash.near_duplicates(docs).collect()} == {1, 3}
+
+
+def test_simhash_of_a_very_long_text(spark):
+    long = prose(random.Random(5), 150_000)
+    docs = spark.createDataFrame([(1, long, "en", "s", 1, "x", 1), (2, "short", "en", "s", 1, "x", 1), (3, long + " end", "en", "s", 1, "x", 1)], SCHEMA)
+    got = {r["doc_id"]: r["fingerprint"] for r in simhash.near_duplicates(docs).collect()}
+    assert got[1] == f"{brute_fingerprint(long):016x}"
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == [1, 2]
 
 
 def test_chains_follow_both_orders():
