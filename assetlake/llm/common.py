@@ -247,3 +247,30 @@ def blocks(texts: pa.Array, wordly: np.ndarray, most: int = BLOCK_BYTES) -> Iter
         to = min(to, len(texts))
         yield at, to, Block(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], wordly)
         at = to
+
+
+# ---------------------------------------------------------------- counts
+#: Numbers in a slice of a table of counts.
+SLICE = 1 << 12
+
+
+def _add_slices(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(b, np.int64) for b in table["counts"].to_pylist())
+    return pa.table({"slice": table["slice"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def summed_cells(df: DataFrame, count, cells: int) -> np.ndarray:
+    """The sum of the tables of `cells` counts that count() makes of each partition's record batches. A
+    partition sends it in slices; the driver gets one table, whatever the size of df."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = count(batches)
+        parts = [total[a : a + SLICE] for a in range(0, cells, SLICE)]
+        used = [i for i, x in enumerate(parts) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([parts[i].tobytes() for i in used], pa.binary())], ["slice", "counts"])
+
+    out = np.zeros(cells, np.int64)
+    for r in df.mapInArrow(sliced, "slice long, counts binary").groupBy("slice").applyInArrow(_add_slices, "slice long, counts binary").collect():
+        part = np.frombuffer(r["counts"], np.int64)
+        out[r["slice"] * SLICE : r["slice"] * SLICE + len(part)] = part
+    return out

@@ -12,15 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from assetlake.llm.common import ALNUM, BLOCK_BYTES, Block, blocks, raw
+from assetlake.llm.common import ALNUM, BLOCK_BYTES, Block, blocks, materialize, pack, pick, raw, unpack
 
 WINDOW = 10
-#: Bytes of benchmark text that one broadcast holds; more text is searched in several blocks.
-TEST_BYTES = 32 << 20
+#: Bytes of benchmark text that one broadcast holds; more text is searched in several passes.
+TEST_BYTES = 4 << 20
 #: Bytes of training text in a shard.
 SHARD_BYTES = BLOCK_BYTES
 MATCH = pa.struct([("item_id", pa.string()), ("doc_pos", pa.int64()), ("item_pos", pa.int64()), ("length", pa.int64())])
@@ -133,22 +133,16 @@ def _occurrences(block: Block, hashes: np.ndarray, tests: Tests) -> tuple[np.nda
     return origin[array[low[which] + inner]], which
 
 
-def search(texts: pa.Array, load: list) -> pa.Array:
-    """For each text: its words, the words hit, the items found and the longest matches.
-
-    load: functions that give the blocks of tests, one at a time.
-    """
+def search(texts: pa.Array, tests: Tests) -> pa.Array:
+    """For each text: its words, the words hit, the items found and the longest matches."""
     out = []
     for at, to, block in blocks(texts, ALNUM, SHARD_BYTES):
         hashes, owner = block.hashes(), block.owners()
         n, cover = np.diff(block.bounds), np.zeros(len(block.first) + 1, np.int64)
         found: list[set] = [set() for _ in range(at, to)]
         matches: list[list] = [[] for _ in range(at, to)]
-        for one in load:
-            tests = one()
-            word, window = _occurrences(block, hashes, tests)
-            if not len(word):
-                continue
+        word, window = _occurrences(block, hashes, tests)
+        if len(word):
             np.add.at(cover, word, 1)
             np.add.at(cover, word + tests.sizes[window], -1)
             doc, item = owner[word], tests.items[window]
@@ -168,44 +162,79 @@ def search(texts: pa.Array, load: list) -> pa.Array:
     return pa.array(out, RESULT)
 
 
-def searcher(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, test_bytes: int = TEST_BYTES):
-    """A function from a text column to its struct of results. The benchmark's blocks, each of a
-    bounded size (and one longer item at most), are broadcast; executors hold one at a time."""
-    spark, blocks_, ids, texts, size = benchmark.sparkSession, [], [], [], 0
-
-    def close() -> None:
-        if texts:
-            blocks_.append(spark.sparkContext.broadcast(Tests(ids.copy(), texts.copy(), window)))
-            ids.clear()
-            texts.clear()
-
-    for row in benchmark.select(benchmark[id_col].cast("string").alias("i"), benchmark[text_col].alias("t")).toLocalIterator():
+def blocks_of_tests(benchmark: DataFrame, id_col: str, text_col: str, test_bytes: int) -> Iterator[tuple[list, list]]:
+    """The benchmark's ids and texts in blocks of about test_bytes (and one longer item at most); the driver holds one
+    partition of the benchmark at a time."""
+    ids, texts, size = [], [], 0
+    wanted = pick(benchmark, i=id_col, t=text_col)
+    for row in wanted.select(F.col("i").cast("string").alias("i"), "t").toLocalIterator():
         ids.append(row["i"])
         texts.append(row["t"])
-        size += len(row["t"] or "")
+        size += len((row["t"] or "").encode())
         if size >= test_bytes:
-            close()
-            size = 0
-    close()
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
 
-    def load(block, alone: bool):
-        def one() -> Tests:
-            tests = block.value
-            if not alone:  # let the memory go when the next block comes
-                block.__dict__.pop("_value", None)
-            return tests
 
-        return one
+def covered(matches: Column) -> Column:
+    """The words that matches of several blocks cover."""
+
+    @arrow_udf("long")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            out = []
+            for own in lists.to_pylist():
+                total, end = 0, 0
+                for a, b in sorted((m["doc_pos"], m["doc_pos"] + m["length"]) for m in own or ()):
+                    total += max(0, b - max(a, end))
+                    end = max(end, b)
+                out.append(total)
+            yield pa.array(out, pa.int64())
+
+    return run(matches)
+
+
+def searcher(tests):
+    """A function from a text column to its struct of results against a broadcast block of tests."""
 
     @arrow_udf(SCHEMA)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        loads = [load(b, len(blocks_) == 1) for b in blocks_]
-        for texts_ in batches:
-            yield search(texts_, loads)
+        for texts in batches:
+            yield search(texts, tests.value)
 
     return run
 
 
+def searched(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, test_bytes: int = TEST_BYTES) -> DataFrame:
+    """docs, which has a column _text, with the struct _found of its results.
+
+    The benchmark is read in blocks of a bounded size. Each block is broadcast, searched for in all
+    texts and let go before the next one comes; what is found is written between them. So memory doesn't
+    grow with the benchmark; the time does, by a pass over the texts for each block."""
+    spark = docs.sparkSession
+    blocks_ = blocks_of_tests(benchmark, id_col, text_col, test_bytes)
+    one = next(blocks_, ([], []))
+    out, passes = docs, 0
+    while one is not None:
+        shared = spark.sparkContext.broadcast(Tests(*one, window))
+        one = next(blocks_, None)
+        passes += 1
+        out = out.withColumn(f"_found{passes}", searcher(shared)("_text"))
+        if one is not None or passes > 1:
+            if passes > 1:
+                new, old = F.col(f"_found{passes}"), F.col(f"_found{passes - 1}")
+                both = F.struct(new["n_words"].alias("n_words"), new["n_hit"].alias("n_hit"), F.array_sort(F.array_union(old["items"], new["items"])).alias("items"), F.concat(old["matches"], new["matches"]).alias("matches"))
+                out = out.withColumn(f"_found{passes}", both).drop(f"_found{passes - 1}")
+            out = materialize(out)
+            shared.unpersist()
+    found = F.col(f"_found{passes}")
+    if passes > 1:
+        found = F.struct(found["n_words"].alias("n_words"), covered(found["matches"]).alias("n_hit"), found["items"].alias("items"), found["matches"].alias("matches"))
+    return out.select(*docs.columns, found.alias("_found"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_hit, items (ids as sorted strings), matches.
 
@@ -215,13 +244,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     that share an id count once. Empty tables and repeated rows need no care; other columns of
     docs are not read.
     """
-    found = searcher(benchmark, **options)(docs[text_col])
-    return docs.select(docs[id_col].alias("doc_id"), found.alias("r")).select("doc_id", "r.*")
+    found = searched(pick(docs, _id=id_col, _text=text_col), benchmark, **options)
+    return found.select(F.col("_id").alias("doc_id"), "_found.*")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of docs, all columns, in which no benchmark window occurs."""
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), searcher(benchmark, **options)(docs[text_col]).alias("_found"))
-    return packed.filter("_found.n_hit = 0").select("_row.*")
-
-
+    found = searched(pack(docs, _text=text_col), benchmark, **options)
+    return unpack(found.filter("_found.n_hit = 0").select("_row"), docs)

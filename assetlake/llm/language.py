@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from assetlake.llm.common import LOWER, bounded_sample, raw, remainder
+from assetlake.llm.common import LOWER, bounded_sample, pick, raw, remainder
 
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 4), 16, 8
 #: Labelled rows that training reads at most, dealt evenly over the languages, and windows of each.
@@ -134,10 +134,11 @@ class Network:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = SAMPLE) -> Network | None:
     """Learn from rows with a text and a language whose crc32 of the id, modulo 3, is not 1: about
-    `bound` of them at most, PER_ROW windows of each, from places all over the text."""
-    slim = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"), docs[lang_col].cast("string").alias("_lang"))
+    `bound` of them at most, PER_ROW windows of each, from places all over the text. Of several texts of an
+    id in a language the last in code point order counts."""
+    slim = pick(docs, _id=id_col, _text=text_col, _lang=lang_col).withColumn("_lang", F.col("_lang").cast("string"))
     usable = slim.filter(F.col("_lang").isNotNull() & (F.length("_text") > 0) & (remainder(F.col("_id"), 3) != 1))
-    drawn = bounded_sample(usable, "_lang", "_id", bound)
+    drawn = bounded_sample(usable, "_lang", "_id", bound).groupBy("_lang", "_id").agg(F.max("_text").alias("_text"))
     cuts = [F.substring("_text", F.lit(1) + F.pmod(F.xxhash64("_id", F.lit(k)), F.greatest(F.lit(1), F.length("_text") - WINDOW)).cast("int"), F.lit(WINDOW)) for k in range(PER_ROW)]
     rows = sorted((r["_lang"], i, c) for r in drawn.select("_lang", F.col("_id").cast("string").alias("i"), F.array(*cuts).alias("c")).collect() for i, c in [(r["i"] or "", r["c"])])
     if not rows:
@@ -189,5 +190,5 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             names, scores = identify(texts, shared.value)
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    found = docs.select(docs[id_col].alias("doc_id"), run(docs[text_col]).alias("r"))
+    found = pick(docs, doc_id=id_col, text=text_col).select("doc_id", run("text").alias("r"))
     return found.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "r.lang_pred", "r.score")

@@ -3,20 +3,27 @@
 Among all document rates that meet the token constraint of each source, entropy balancing takes
 those nearest to equal rates in relative entropy (weighted by tokens). They are exponential
 tilts of the constraints' features; the tilts solve a convex dual, here by Newton iterations
-whose sums run distributed over the documents. The rates are then rounded into whole copies.
+whose sums run distributed over the documents. The rates are then rounded into whole copies: of the
+documents of a source and a class of sizes, those whose hash lies under a cut are rounded up. The cuts
+come from histograms, so whole rows are never shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from assetlake.llm.common import join_small, materialize, text_of
+from assetlake.llm.common import NOT_SPACE, blocks, join_small, materialize, pack, pick, unpack  # noqa: F401  unpack is for callers
 
-#: Documents that are rounded together; a source of more is dealt over several such groups.
-PER_GROUP = 1000
 NEWTON_STEPS, TOLERANCE = 60, 1e-12
+#: Bits of the hash that cuts are told in, and bits that one histogram tells apart.
+BITS, LEVEL = 32, 8
 
 
 def ranked(df: DataFrame, column: str) -> DataFrame:
@@ -61,13 +68,13 @@ def balance(sized: DataFrame, targets: DataFrame) -> DataFrame:
     The dual of source s is sum(size * exp(tilt)) - tilt * target, over its documents; a Newton
     step adds (target - moment) / moment. One step is one distributed aggregate over the documents,
     with partial sums before the shuffle; the Hessian is diagonal, as sources don't overlap.
-    A target of 0 has rate 0.
+    A target of 0 has rate 0. If the steps don't settle, that is an error.
     """
     # documents of a size alike contribute alike: the sums run over (source, size) with counts
     weighted = materialize(sized.groupBy("source", "size").count())
     state = materialize(targets.withColumn("tilt", F.lit(0.0)))
-    for step in range(NEWTON_STEPS):
-        n = state.count() if not step else n
+    n = state.count()
+    for _ in range(NEWTON_STEPS):
         right = state.select(F.col("source").alias("_s"), "tilt")
         joined = join_small(weighted, right, F.col("source").eqNullSafe(F.col("_s")), "inner", n)
         # whole numbers are summed, so that a rerun gives the same bits
@@ -79,55 +86,103 @@ def balance(sized: DataFrame, targets: DataFrame) -> DataFrame:
         if (state.agg(F.max("gap")).first()[0] or 0.0) <= TOLERANCE:
             break
         state = state.drop("gap")
+    else:
+        raise RuntimeError(f"the tilts don't settle in {NEWTON_STEPS} Newton steps")
     return state.select("source", "source_size", "target", F.when(F.col("target") > 0, F.exp("tilt")).otherwise(0.0).alias("rate"))
 
 
-def _round(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Copies of a group's documents: the whole number below or above the rate that keeps the running
-    sum nearest to the wanted one, from the largest document to the smallest."""
-    pdf = pdf.sort_values(["size", "order"], ascending=[False, True], kind="stable")
-    copies, owed = [], 0.0
-    for size, rate in zip(pdf["size"].tolist(), pdf["rate"].tolist()):
-        low = int(rate + 1e-9)
-        owed += size * rate
-        up = rate - low > 1e-9 and abs(owed - size * (low + 1)) <= abs(owed - size * low) and size > 0
-        copies.append(low + up)
-        owed -= size * copies[-1]
-    return pdf.assign(copies=copies)[["row", "size", "source", "copies"]]
+def words(text: Column) -> Column:
+    """The number of words between white space; 0 for null."""
+
+    @arrow_udf("long")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(np.concatenate([np.zeros(0, np.int64), *[np.diff(block.bounds) for _, _, block in blocks(texts, NOT_SPACE)]]).astype(np.int64))
+
+    return run(text)
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """df (id, text, source and others) with size, class (of sizes, by powers of 2; null without words) and spot: BITS of a hash of id and text."""
+    spot = F.shiftrightunsigned(F.xxhash64(F.col("_id").cast("string"), F.col("_text"), F.lit(11)), 64 - BITS)
+    df = df.select("*", words(F.col("_text")).alias("size"), spot.alias("spot"))
+    return df.withColumn("class", F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double"))).cast("int")))
+
+
+def _keyed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(c).alias(names.get(c, c)) for c in df.columns])
+
+
+def _same_class() -> Column:
+    return F.col("source").eqNullSafe(F.col("_s")) & (F.col("class") == F.col("_c"))
+
+
+def cuts(slim: DataFrame, rates: DataFrame, many: int) -> DataFrame:
+    """(_s, _c, cut): the documents of a source and class whose spot is below the cut are rounded up.
+
+    A class's words under its cut come as near to its share as one document allows; of the two nearest
+    cuts the largest class takes the nearer, and each smaller one what makes up for those before.
+    """
+    whole = F.floor(F.col("rate") + 1e-9)
+    part = rates.select(F.col("source").alias("_s"), F.greatest(F.col("rate") - whole, F.lit(0.0)).alias("part"))
+    slim = slim.filter("class is not null")
+    sums = slim.groupBy("source", "class").agg(F.sum("size").alias("words"))
+    state = join_small(sums, part, F.col("source").eqNullSafe(F.col("_s")), "inner", many)
+    state = materialize(state.select("_s", F.col("class").alias("_c"), (F.col("words") * F.col("part")).alias("need"), F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below")))
+    classes = state.count()
+    for shift in range(BITS - LEVEL, -1, -LEVEL):
+        # the words of each cell of what the cut is known to lie in, and the cell in which the share is reached
+        within = join_small(slim, state, _same_class(), "inner", classes).filter(F.shiftrightunsigned("spot", shift + LEVEL) == F.col("prefix"))
+        cells = within.groupBy("_s", "_c", "need", "below", F.shiftrightunsigned("spot", shift).alias("prefix")).agg(F.sum("size").alias("words"))
+        order = Window.partitionBy("_s", "_c").orderBy("prefix")
+        cells = cells.withColumn("upto", F.sum("words").over(order)).withColumn("place", F.row_number().over(order.orderBy(F.desc("prefix"))))
+        reached = cells.filter((F.col("below") + F.col("upto") >= F.col("need")) | (F.col("place") == 1))
+        state = reached.groupBy("_s", "_c", "need").agg(F.min_by(F.struct("prefix", (F.col("below") + F.col("upto") - F.col("words")).alias("below"), "words"), "prefix").alias("c"))
+        state = materialize(state.select("_s", "_c", "need", "c.prefix", "c.below", F.col("c.words").alias("last")))
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, owed, out = pdf.sort_values("_c", ascending=False), 0.0, []
+        for need, prefix, below, last in zip(pdf["need"], pdf["prefix"], pdf["below"], pdf["last"]):
+            short, over = owed + need - below, owed + need - below - last
+            up = abs(over) <= abs(short) and need > 0
+            owed = over if up else short
+            out.append(prefix + up)
+        return pdf.assign(cut=out)[["_s", "_c", "cut"]]
+
+    schema = state.select("_s", "_c", F.lit(0).cast("long").alias("cut")).schema
+    return materialize(state.groupBy("_s").applyInPandas(choose, schema))
+
+
+def _mixed(sized: DataFrame, slim: DataFrame, weights, share: float, most: float) -> DataFrame:
+    """sized with source_size, target, rate and copies; slim has its source, size, class and spot."""
+    sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = materialize(capped_targets(sources, weights, share, most))
+    rates = materialize(balance(slim, targets))
+    many = rates.count()
+    cut = cuts(slim, rates, many)
+    rounded = join_small(sized, cut, _same_class(), "left", cut.count()).drop("_s", "_c")
+    right = _keyed(rates, {"source": "_s"})
+    joined = join_small(rounded, right, F.col("source").eqNullSafe(F.col("_s")), "inner", many).drop("_s")
+    up = F.coalesce((F.col("spot") < F.col("cut")).cast("long"), F.lit(0))
+    return joined.withColumn("copies", F.floor(F.col("rate") + 1e-9) + up).drop("cut", "class", "spot")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Every row of docs as (row, size, source, source_size, target, rate, copies); row holds all its columns.
+    """Every row of docs as (_row, size, source, source_size, target, rate, copies); _row holds its columns by place (see unpack).
 
     size: words between white space; null text has none. Null is a source of its own. A source
     without words has target 0 and rate 0; a document without words takes the copies of its
-    rate rounded down. Repeated rows are rounded one by one; ties in size go by a hash of the
-    row's id and text. An empty table gives an empty result.
+    rate rounded down. Rows that repeat id and text are rounded alike. An empty table gives an empty
+    result.
     """
-    size = F.regexp_count(text_of(docs[text_col]), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[source_col].alias("source"), size.alias("size"), F.xxhash64(docs[id_col], docs[text_col]).alias("order"))
-    return _mix(packed, weights, share, most)
+    sized = _sized(pack(docs, _id=id_col, _text=text_col, source=source_col)).drop("_id", "_text")
+    slim = materialize(_sized(pick(docs, _id=id_col, _text=text_col, source=source_col)).select("source", "size", "class", "spot"))
+    return _mixed(sized, slim, weights, share, most)
 
 
-def _mix(packed: DataFrame, weights, share: float, most: float) -> DataFrame:
-    packed = materialize(packed)
-    sources = packed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    targets = materialize(capped_targets(sources, weights, share, most))
-    rates = balance(packed, targets.drop("n"))
-    rates = materialize(rates.join(targets.select(F.col("source").alias("_t"), "n"), F.col("source").eqNullSafe(F.col("_t"))).drop("_t"))
-    many = rates.count()
-    right = rates.select(F.col("source").alias("_s"), "rate", F.ceil(F.col("n") / PER_GROUP).alias("groups"))
-    dealt = join_small(packed, right, F.col("source").eqNullSafe(F.col("_s")), "inner", many).withColumn("group", F.pmod(F.xxhash64("order", F.lit(11)), F.col("groups")))
-    schema = dealt.select("row", "size", "source", F.lit(0).cast("long").alias("copies")).schema
-    rounded = dealt.select("row", "size", "source", "order", "rate", "group").groupBy("source", "group").applyInPandas(_round, schema)
-    right = rates.select(F.col("source").alias("_s"), "source_size", "target", "rate")
-    return join_small(rounded, right, F.col("source").eqNullSafe(F.col("_s")), "inner", many).drop("_s")
-
-
-def mixture(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies for each row of docs (see mix)."""
-    slim = docs.select(docs[id_col].alias("doc_id"), docs[options.get("text_col", "text")].alias("text"), docs[options.get("source_col", "source")].alias("source"))
-    size = F.regexp_count(text_of("text"), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    packed = slim.select(F.struct("doc_id").alias("row"), "source", size.alias("size"), F.xxhash64("doc_id", "text").alias("order"))
-    mixed = _mix(packed, options.get("weights", (3.0, 1.0, 2.0)), options.get("share", 1.5), options.get("most", 2.0))
-    return mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "rate")
+def mixture(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies, rate for each row of docs (see mix)."""
+    sized = _sized(pick(docs, _id=id_col, _text=text_col, source=source_col))
+    slim = materialize(sized.select(F.col("_id").alias("doc_id"), "source", "size", "class", "spot"))
+    mixed = _mixed(slim, slim, weights, share, most)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.col("copies").cast("long").alias("copies"), "rate")

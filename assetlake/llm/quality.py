@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from assetlake.llm.common import ALNUM, LOWER, NOT_SPACE, Block, blocks, bounded_sample, grams, materialize, remainder, unit
+from assetlake.llm.common import ALNUM, LOWER, NOT_SPACE, Block, blocks, bounded_sample, grams, materialize, pick, remainder, unit
 
 #: Buckets of hashed words and word pairs.
 BUCKETS = 1 << 14
@@ -51,11 +51,11 @@ def log_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """The log ratio of each bucket's probability in good texts to that in all texts, and the share
     of labelled texts that are good. Good: label 1 and crc32 of the id, modulo 5, not 0; of several
     labels of an id the largest counts."""
-    usable = labels.filter(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull() & (remainder(F.col(id_col), 5) != 0))
-    usable = usable.groupBy(F.col(id_col).alias("_id")).agg(F.max("quality").alias("quality"))
+    usable = pick(labels, _id=id_col, quality="quality").filter(F.col("quality").isin(0, 1) & F.col("_id").isNotNull() & (remainder(F.col("_id"), 5) != 0))
+    usable = usable.groupBy("_id").agg(F.max("quality").alias("quality"))
     good = bounded_sample(usable.filter("quality = 1"), "quality", "_id", bound).select("_id", F.lit(True).alias("_good"))
     share = usable.agg(F.avg("quality")).first()[0]
-    slim = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text")).join(F.broadcast(good), "_id", "left")
+    slim = pick(docs, _id=id_col, _text=text_col).join(F.broadcast(good), "_id", "left")
     counts = slim.select("_text", F.coalesce("_good", F.lit(False)).alias("_good")).mapInArrow(_count, "bucket long, raw long, target long")
     total = np.zeros((2, BUCKETS))
     for r in counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
@@ -108,7 +108,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, id_
             yield pa.array(out)
 
     noise = -F.log(-F.log((unit(F.col("doc_id"), seed) + F.lit(2.0**-54))))
-    weighed = docs.select(docs[id_col].alias("doc_id"), weigh(docs[text_col]).alias("log_weight"))
+    weighed = pick(docs, doc_id=id_col, text=text_col).select("doc_id", weigh("text").alias("log_weight"))
     weighed = materialize(weighed.select("doc_id", "log_weight", (F.col("log_weight") + noise).alias("key")))
     k = round((good if share is None else share) * weighed.count())
     return weighed.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "log_weight", F.col("key").alias("gumbel_key"), (F.col("key") >= F.lit(float(threshold(weighed, k)))).alias("selected"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from assetlake.llm.common import NOT_SPACE, blocks, grams, join_small, materialize, mix, pack, pick, text_of, unpack
+from assetlake.llm.common import NOT_SPACE, blocks, grams, join_small, materialize, mix, pack, pick, summed_cells, text_of, unpack
 from assetlake.llm.components import components
 
 SHINGLE, RADIUS, SEED, TILE = 3, 3, 42, 64
@@ -23,8 +23,8 @@ PER_TASK = 1 << 14
 LONG_SHINGLE, SIMILARITY = 5, 0.8
 #: Bits by which the fingerprints of sets of that similarity may differ; 10 of 64 are to be expected at 0.8.
 LOOSE = 24
-#: Cells of the table that tells frequent shingles from others, and cells of a slice of it.
-CELLS, SLICE = 1 << 18, 1 << 12
+#: Cells of the table that tells frequent shingles from others.
+CELLS = 1 << 18
 #: Sets of a component that are compared whole at once.
 SETS = 256
 
@@ -243,29 +243,17 @@ def shingles(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndar
         yield at, g, np.searchsorted(owner, np.arange(to - at + 1))
 
 
-def _cells(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """A partition's counts of hashed shingles, by slices of the table."""
-    total = np.zeros(CELLS, np.int64)
-    for batch in batches:
-        for _, g, _ in shingles(batch.column(0), k):
-            total += np.bincount((g >> np.uint64(64 - (CELLS - 1).bit_length())).astype(np.int64), minlength=CELLS)
-    parts = total.reshape(-1, SLICE)
-    used = np.flatnonzero(parts.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([parts[i].tobytes() for i in used], pa.binary())], ["slice", "counts"])
-
-
-def _summed(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(b, np.int64) for b in table["counts"].to_pylist())
-    return pa.table({"slice": table["slice"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-
 def frequent(texts: DataFrame, k: int) -> np.ndarray:
     """For each cell of hashed shingles, how often as frequent as the average it is, as a power of 2 (0 at least)."""
-    sums = texts.mapInArrow(lambda it: _cells(it, k), "slice long, counts binary").groupBy("slice").applyInArrow(_summed, "slice long, counts binary")
-    total = np.zeros((CELLS // SLICE, SLICE), np.float64)
-    for r in sums.collect():  # CELLS numbers, whatever the size of the texts
-        total[r["slice"]] = np.frombuffer(r["counts"], np.int64)
-    total = total.reshape(-1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for _, g, _ in shingles(batch.column(0), k):
+                total += np.bincount((g >> np.uint64(64 - (CELLS - 1).bit_length())).astype(np.int64), minlength=CELLS)
+        return total
+
+    total = summed_cells(texts, count, CELLS)
     return np.floor(np.log2(np.maximum(1.0, total / max(1.0, total.mean())))).astype(np.uint8)
 
 
@@ -415,7 +403,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     firsts = members.filter(order == F.col("first"))
     gone = materialize(members.filter(order != F.col("first")).select(F.col("id").alias("_gone_id"), F.col("key").alias("_key")).distinct())
     again = materialize(firsts.groupBy("id", "key").count().filter("count > 1").select(F.col("id").alias("_gone_id"), F.col("key").alias("_key")))
-    same = lambda other: (F.col("_key") == other["_key"]) & F.col("_id").eqNullSafe(other["_gone_id"])
     few, many = again.count(), gone.count()
     small = lambda frame, rows_: F.broadcast(frame) if rows_ <= 200_000 else frame.hint("shuffle_hash")
     gone, again = gone.withColumnRenamed("_key", "_gone_key"), again.withColumnRenamed("_key", "_again_key").withColumnRenamed("_gone_id", "_again_id")

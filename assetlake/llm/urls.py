@@ -13,13 +13,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assetlake.llm.common import bounded_sample, materialize, text_of
+from assetlake.llm.common import bounded_sample, materialize, pick, text_of
 
 #: Labelled URLs that training reads at most, dealt evenly over the two labels.
 SAMPLE = 20_000
 TREES, DEPTH, BINS, RATE, RIDGE = 6, 3, 16, 0.4, 1.0
-#: Suffixes with statistics of their own at most; the rest share one.
-SUFFIXES = 500
+#: Labelled URLs that the statistics of an unknown suffix stand for.
+PSEUDO = 4.0
 
 #: The rules of the filter, (verdict, host, path).
 RULES = (
@@ -85,37 +85,42 @@ def suffixes(host: Column, path: Column) -> dict[str, Column]:
     return {"top": top, "section": F.concat(top, F.regexp_extract(path, r"(?s)^(/[^/]*/?)", 1)), "kind": F.regexp_extract(path, r"(?s)(\.[A-Za-z0-9]+|/)$", 1)}
 
 
-def _case(keys: list[tuple[str, float]], column: Column, other: float) -> Column:
-    """The value of each key, as a lookup in a map literal."""
-    if not keys:
-        return F.lit(other)
-    table = F.create_map(*[F.lit(x) for k, v in keys for x in (k, float(v))])
-    return F.coalesce(F.element_at(table, column), F.lit(float(other)))
-
-
 class Trees:
-    """base: the log odds without features; trees: nested (feature, threshold, left, right) or leaf values."""
+    """base: the log odds without features; tables: by suffix kind (key, log odds), a row for each suffix of the
+    labelled URLs; trees: nested (feature, threshold, left, right) or leaf values."""
 
-    def __init__(self, base: float, tables: dict, trees: list):
+    def __init__(self, base: float, tables: dict[str, DataFrame], trees: list):
         self.base, self.tables, self.trees = base, tables, trees
 
-    def columns(self, url: Column, host: Column, path: Column) -> dict[str, Column]:
-        found = lexical(url, host, path)
+    def featured(self, pages: DataFrame) -> DataFrame:
+        """pages (url, host, path and others) with a column f_<name> for each feature.
+
+        The statistics of suffixes are joined: they have no more rows than the labelled URLs that are
+        read, which are bounded, so they may be broadcast."""
+        url, host, path = F.col("url"), F.col("host"), F.col("path")
+        out = pages.select("*", *[c.alias(f"f_{name}") for name, c in lexical(url, host, path).items()])
         for name, key in suffixes(host, path).items():
-            known, other = self.tables.get(name, ([], 0.0))
-            found[name] = _case(known, key, other)
-        return found
+            if name in self.tables:
+                out = out.join(F.broadcast(self.tables[name]), key == F.col("_key"), "left").withColumn(f"f_{name}", F.coalesce("_odds", F.lit(0.0))).drop("_key", "_odds")
+            else:
+                out = out.withColumn(f"f_{name}", F.lit(0.0))
+        return out
 
-    def score(self, features: dict[str, Column]) -> Column:
+    def score(self) -> Column:
         def value(node) -> Column:
             if not isinstance(node, tuple):
                 return F.lit(float(node))
             name, threshold, left, right = node
-            return F.when(features[name] <= F.lit(float(threshold)), value(left)).otherwise(value(right))
+            return F.when(F.col(f"f_{name}") <= F.lit(float(threshold)), value(left)).otherwise(value(right))
 
         return reduce(lambda total, t: total + value(t), self.trees, F.lit(float(self.base)))
 
 
+def features() -> list[str]:
+    none = F.lit("")
+    return [*lexical(none, none, none), *suffixes(none, none)]
+
+
 def train(labelled: DataFrame) -> Trees:
     """Boosted trees from (url, y); every sum is a DataFrame aggregate whose size the bins bound."""
     labelled = labelled.select("url", "y", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -128,22 +133,19 @@ def train(labelled: DataFrame) -> Trees:
     labelled = labelled.withColumn("w", weight)
     keys = suffixes(F.col("host"), F.col("path"))
     pairs = labelled.select("y", "w", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), c.alias("key")) for k, c in keys.items()])).alias("s"))
-    stats = pairs.groupBy("s.name", "s.key").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("ones")).orderBy(F.desc("n"), "name", "key").limit(SUFFIXES).collect()
-    tables = {k: ([], base) for k in keys}
-    for r in stats:
-        p = (r["ones"] + 2) / (r["n"] + 4)
-        tables[r["name"]][0].append((r["key"], math.log(p / (1 - p))))
-    model = Trees(base, tables, [])
-    features = model.columns(F.col("url"), F.col("host"), F.col("path"))
-    names = list(features)
-    table = labelled.select("y", "w", *[c.cast("double").alias(k) for k, c in features.items()])
+    stats = pairs.groupBy("s.name", "s.key").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("ones"))
+    share = (F.col("ones") + PSEUDO / 2) / (F.col("n") + PSEUDO)
+    stats = materialize(stats.filter("key is not null").select("name", F.col("key").alias("_key"), F.log(share / (1 - share)).alias("_odds")))
+    model = Trees(base, {k: stats.filter(F.col("name") == k).drop("name") for k in keys}, [])
+    names = features()
+    table = model.featured(labelled).select("y", "w", *[F.col(f"f_{k}").cast("double").alias(k) for k in names])
     edges_ = table.agg(*[F.percentile_approx(k, [i / BINS for i in range(1, BINS)], 1000).alias(k) for k in names]).first()
     edges = {k: sorted(set(edges_[k])) for k in names}
     # bin i holds values above edge i-1, up to edge i
     bins = [reduce(lambda b, e, k=k: b + (F.col(k) > e).cast("int"), edges[k], F.lit(0)) for k in names]
-    table = materialize(table.select("y", "w", F.array(*bins).alias("bins"), *names))
+    table = materialize(table.select("y", "w", F.array(*bins).alias("bins"), *[F.col(k).alias(f"f_{k}") for k in names]))
     for _ in range(TREES):
-        p = 1 / (1 + F.exp(-model.score({k: F.col(k) for k in names})))
+        p = 1 / (1 + F.exp(-model.score()))
         graded = table.select("bins", (F.col("w") * (F.col("y") - p)).alias("g"), (F.col("w") * p * (1 - p)).alias("h"))
         splits: dict[int, tuple] = {}
         node = F.lit(1)
@@ -187,17 +189,15 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     The URLs that a rule fits are labelled by it (block 1, allow 0); the trees are trained on about
     `bound` of them at most and decide the URLs that no rule fits: block at a score of 0.5 or more.
     A null URL or one without `://` has an empty host and path. If all labels are alike, their
-    smoothed share is the score. Repeated rows are judged alike; other
+    smoothed share is the score. A URL counts once in training; repeated rows are judged alike; other
     columns are not read.
     """
-    slim = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"))
+    slim = pick(pages, page_id=id_col, url=url_col)
     slim = slim.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = slim.select("*", name.alias("rule"), verdict.alias("given"))
     labelled = ruled.filter("given is not null").select("url", (F.col("given") == "block").cast("int").alias("y"))
-    model = train(bounded_sample(labelled, "y", "url", bound))
-    features = model.columns(F.col("url"), F.col("host"), F.col("path"))
-    featured = ruled.select("page_id", "host", "path", "rule", "given", *[c.alias(f"_{k}") for k, c in features.items()])
-    p = 1 / (1 + F.exp(-model.score({k: F.col(f"_{k}") for k in features})))
-    judged = featured.select("page_id", "host", "path", "rule", "given", p.alias("score"))
+    model = train(materialize(bounded_sample(labelled, "y", "url", bound).distinct()))
+    p = 1 / (1 + F.exp(-model.score()))
+    judged = model.featured(ruled).select("page_id", "host", "path", "rule", "given", p.alias("score"))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("given", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")

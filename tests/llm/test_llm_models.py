@@ -126,6 +126,52 @@ def test_disguises_are_restored():
     assert 0 <= model.score(None) == model.score("") < 0.5
 
 
+def every_path(unit):
+    """All readings of a unit's lattice with their channel costs."""
+    paths = [("", 0.0)]
+    for options in toxicity.lattice(unit):
+        paths = [(word + text, cost + more) for word, cost in paths for text, more in options]
+    return paths
+
+
+def test_decoding_equals_brute_force():
+    r = random.Random(21)
+    letters = toxicity.Letters.of(["the idiot in the house lies still all loose tooth class is as at it a list toil " * 3])
+
+    def value(word, cost):
+        gain, state = toxicity.step("^^", word, letters)
+        return cost + gain + letters.log(state, "$")
+
+    for _ in range(150):
+        unit = "".join(r.choice("aio5st1!l0@$ .7") for _ in range(r.randrange(1, 9))).strip() or "a"
+        top = max(value(*p) for p in every_path(unit))
+        got = toxicity.decode(unit, letters)
+        assert got in {" ".join(w.split()) for w, c in every_path(unit) if value(w, c) >= top - 1e-9}
+
+
+@pytest.mark.parametrize("word", ["1d10t", "!diot", "idi0t!", "i  d  i  o  t", "i\td\ti\to\tt", "1 d ! o t", "i. d. i. o. t.", "i-d-i-o-t", "iddiot", "idiooooot", "!D!0T", "*idiot*", "a i d i o t"])
+def test_disguises_of_every_kind(word):
+    plain = [(f"there is a {w} of and a {w} then that on in for to with by from be this", y) for w, y in [("idiot", 1), ("moron", 1), ("loser", 1), ("house", 0), ("garden", 0), ("river", 0)] for _ in range(20)]
+    model = toxicity.train(plain, 0.5)
+    assert "idiot" in toxicity.deobfuscate(f"and {word} then", model.letters, model.known).split()
+    assert model.score(f"there is {word} of and then") > 0.5 > model.score("there is house of and then")
+
+
+def test_toxicity_of_a_very_long_run():
+    model = toxicity.train([("an idiot here", 1), ("a house here", 0)] * 30, 0.5)
+    assert model.score("h e l l o " * 40_000 + "i d i o t") >= 0 and model.score("x " * 50_000 + "and idiot") > model.score("x " * 50_000 + "and house")
+
+
+def test_toxicity_of_odd_rows(spark):
+    schema = "doc_id long, TEXT string, text string, `a.b` string"
+    docs = spark.createDataFrame([(i % 30, "x", ("an idiot here" if i % 2 else "a house here"), "y") for i in range(90)] + [(None, None, None, None)], schema)
+    labels = spark.createDataFrame([(i, 0, i % 2, "x") for i in range(30)], "doc_id long, quality int, toxic int, TOXIC string")
+    found = toxicity.toxicity(docs, labels).collect()
+    assert len(found) == 91 and all(x["predicted"] == x["doc_id"] % 2 for x in found if x["doc_id"] is not None)
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == 46
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a", "en", "s", 1), (2, None, "en", "s", 1)], DOCS)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -220,6 +266,37 @@ def test_urls(spark):
     assert urls.judge(pages.filter("page_id >= 5 and page_id < 11")).count() == 6
 
 
+def test_statistics_of_rare_suffixes(spark):
+    rows = [(f"http://h{i}.t{i % 900}/s/{i}", int(i % 900 % 2)) for i in range(1800)]
+    labelled = spark.createDataFrame(rows, "url string, y int")
+    model = urls.train(labelled)
+    assert model.tables["top"].count() == 900
+
+
+def test_urls_that_a_held_out_rule_decides(spark):
+    """Rules for two thirds of some sites label them; the trees must tell the rest, whose rule they don't know."""
+    r = random.Random(8)
+    rows, rest = [], {}
+    for i in range(1500):
+        bad = r.random() < 0.5
+        page = f"/{'x' * r.randrange(1, 4)}{r.randrange(10**8)}?{'&'.join(f'p{k}={r.randrange(10**6)}' for k in range(6))}" if bad else f"/{r.choice(['about', 'news', 'help'])}/story"
+        site = ("ads" if bad else "good") + str(i % 3)
+        rows.append((i, f"http://w{r.randrange(50)}.{site}{page}"))
+        rest[i] = ("block" if bad else "allow") if i % 3 == 2 else None
+    rules = tuple((v, f"{n}{k}", "/") for v, n in (("block", "ads"), ("allow", "good")) for k in (0, 1))
+    got = {x["page_id"]: x for x in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), rules=rules).collect()}
+    assert all((got[i]["rule"] is None) == (v is not None) for i, v in rest.items())
+    told = [got[i]["verdict"] == v for i, v in rest.items() if v]
+    assert sum(told) / len(told) > 0.9
+
+
+def test_urls_of_odd_rows(spark):
+    schema = "page_id long, URL string, url string, `a.b` string"
+    docs = spark.createDataFrame([(1, "x", "http://a.com/en/1", "y")] * 3 + [(None, None, None, None), (2, "x", "http://a.com/" + "p" * 200_000, "z")], schema)
+    got = urls.judge(docs).collect()
+    assert len(got) == 5 and {x["verdict"] for x in got if x["page_id"] == 1} == {"block"}
+
+
 def test_trees_learn_their_labels(spark):
     r = random.Random(5)
     rows = [(f"http://{'x' * r.randrange(3, 9)}.{t}/{s}/{r.randrange(10**6)}?a=1", int(t == "biz" or s == "buy")) for t in ("biz", "com", "org") for s in ("buy", "read") for _ in range(60)]
@@ -227,8 +304,8 @@ def test_trees_learn_their_labels(spark):
     model = urls.train(labelled)
     from pyspark.sql import functions as F
 
-    url = F.col("url")
-    scored = labelled.select("y", model.score(model.columns(url, urls.host_of(url), urls.path_of(url))).alias("s")).collect()
+    hosted = labelled.select("y", "url", urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"))
+    scored = model.featured(hosted).select("y", model.score().alias("s")).collect()
     assert all((r["s"] > 0) == bool(r["y"]) for r in scored)
 
 
@@ -274,10 +351,26 @@ def test_mix(spark):
     assert mixing.mixture(df.limit(0)).count() == 0
 
 
+def test_mix_of_odd_rows(spark):
+    schema = "doc_id long, TEXT string, text string, `so.urce` string, source string"
+    rows = [(7, "x", "a b c", "y", "s")] * 40 + [(8, "x", None, "y", "t"), (None, None, "d e", None, None)]
+    df = spark.createDataFrame(rows, schema)
+    found = mixing.mixture(df).collect()
+    assert len(found) == 42 and len({(x["doc_id"], x["copies"]) for x in found}) == 3
+    assert mixing.unpack(mixing.mix(df).select("_row"), df).columns == df.columns
+
+
+def test_tilts_that_do_not_settle(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "NEWTON_STEPS", 1)
+    with pytest.raises(RuntimeError):
+        mixing.mixture(spark.createDataFrame([(1, "a b", "s"), (2, "c", "t")], "doc_id long, text string, source string"))
+
+
 def test_mix_keeps_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b", "s", 5, "r", 0.5)], "doc_id long, text string, source string, size long, row string, rate double")
-    x = mixing.mix(df).collect()[0]
-    assert x["row"]["size"] == 5 and x["row"]["row"] == "r" and x["size"] == 2
+    x = mixing.mix(df)
+    assert x.select("size", "copies").collect() == [(2, 1)]
+    assert mixing.unpack(x.select("_row"), df).collect() == df.collect()
 
 
 # ---------------------------------------------------------------- queries and pipeline
