@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlake.llm import decontaminate, exact, mixing, simhash, toxicity
-from assetlake.llm.common import materialize
+from assetlake.llm.common import materialize, release, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +28,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): that of the smallest doc_id."""
     return simhash.drop_near_duplicates(docs)
 
 
@@ -45,7 +45,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def fresh(name: str) -> str:
         return fresh(f"_{name}") if name in taken else name
 
-    return mixing.mix(docs).filter("copies > 0").select("row.*", F.col("size").alias(fresh("size")), F.col("copies").alias(fresh("copies")))
+    found = mixing.mix(docs).filter("copies > 0").select("_row.*", "size", "copies")
+    return found.toDF(*docs.columns, fresh("size"), fresh("copies"))
 
 
 STAGES = [
@@ -61,7 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other. Null and empty texts are texts without words, of which one stays;
+    of rows that repeat id and text one stays; an empty table gives an empty result. What a stage writes on
+    its way is deleted when its rows are written."""
     docs = _table(spark, sf_dir, "documents")
     for _, stage in STAGES:
+        first = written(spark)
         docs = materialize(stage(spark, docs, sf_dir))
+        release(spark, first, written(spark) - 1)
     return docs
