@@ -369,7 +369,7 @@ def test_tilts_that_do_not_settle(spark, monkeypatch):
 def test_mix_keeps_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b", "s", 5, "r", 0.5)], "doc_id long, text string, source string, size long, row string, rate double")
     x = mixing.mix(df)
-    assert x.select("size", "copies").collect() == [(2, 1)]
+    assert [r["size"] for r in x.collect()] == [2]
     assert mixing.unpack(x.select("_row"), df).collect() == df.collect()
 
 
