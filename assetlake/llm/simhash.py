@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def shingles(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For blocks of texts (first text, hashes, bounds): the distinct hashes of each text's shingles of k words,
     ascending. A text of fewer words is one shingle; one without words has none."""
-    for at, to, block in blocks(texts, NOT_SPACE):
+    for at, to, block in blocks(texts, NOT_SPACE, 1 << 20):
         h, bounds, owner = block.hashes(), block.bounds, block.owners()
         g, whole = grams(h, bounds, k)
         counts = np.diff(bounds)
@@ -286,10 +286,10 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole, n, fp = (batch.column(i).to_numpy() for i in range(3))
         blobs = batch.column(3)
         counts = np.array([len(x.as_buffer()) // 8 for x in blobs], np.int64)
-        for a in range(0, len(counts), 512):
-            c = counts[a : a + 512]
-            bucket = np.frombuffer(b"".join(x.as_py() for x in blobs.slice(a, 512)), "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), *[pa.array(np.repeat(x[a : a + 512], c)) for x in (whole, fp, n)]], ["bucket", "node", "fp", "size"])
+        for a in range(0, len(counts), 256):
+            c = counts[a : a + 256]
+            bucket = np.frombuffer(b"".join(x.as_py() for x in blobs.slice(a, 256)), "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), *[pa.array(np.repeat(x[a : a + 256], c)) for x in (whole, fp, n)]], ["bucket", "node", "fp", "size"])
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:

@@ -55,7 +55,7 @@ SHORT = re.compile(r"(?<!\S)\S{1,2}(?:\s+\S{1,2}){2}(?!\S)")
 SIZES = {"three": 1 << 18, "before": 1 << 15, "two": 1 << 15, "middle": 1 << 12, "one": 1 << 12}
 CELLS = sum(SIZES.values())
 #: Characters counted at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 START, END = ord("^"), ord("$")
 _memory: dict[str, np.ndarray] = {}
 
@@ -63,9 +63,9 @@ _memory: dict[str, np.ndarray] = {}
 def _kinds() -> np.ndarray:
     """For each character: 0 if it may stand beside a word (space, punctuation), 1 if it is a letter, 2 otherwise."""
     if "kinds" not in _memory:
-        chars = [chr(i) for i in range(0x110000)]
         beside = set(PUNCTUATION + "!")
-        _memory["kinds"] = np.array([1 if c.isalpha() else 0 if c in beside or c.isspace() else 2 for c in chars], np.uint8)
+        kinds = (1 if c.isalpha() else 0 if c in beside or c.isspace() else 2 for c in map(chr, range(0x110000)))
+        _memory["kinds"] = np.fromiter(kinds, np.uint8, 0x110000)
     return _memory["kinds"]
 
 
@@ -347,7 +347,8 @@ def train(rows: list[tuple[str | None, int]], share: float, letters: Letters | N
 def _counted(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     total = np.zeros(CELLS, np.int64)
     for batch in batches:
-        total += count_letters(batch.column(0).to_pylist())
+        for at in range(0, batch.num_rows, 500):
+            total += count_letters(batch.column(0).slice(at, 500).to_pylist())
     return total
 
 
