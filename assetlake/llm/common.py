@@ -88,15 +88,28 @@ def _place(docs: DataFrame, name: str) -> int:
     return same[0]
 
 
+#: Rows that go to a Python worker at once, where the session doesn't say otherwise: whole texts may be long.
+ROWS = 1000
+
+
+def _bounded_batches(docs: DataFrame) -> None:
+    """Leave the session's number of rows in a batch if it was set; the default of 10,000 suits numbers, not texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if docs.sparkSession.conf.get(name) == "10000":
+        docs.sparkSession.conf.set(name, str(ROWS))
+
+
 def pick(docs: DataFrame, **wanted: str) -> DataFrame:
     """The named columns under new names. They are told apart by their place, so names that differ in case
     alone, that repeat or that hold dots do no harm."""
+    _bounded_batches(docs)
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     return plain.select(*[F.col(f"c{_place(docs, name)}").alias(alias) for alias, name in wanted.items()])
 
 
 def pack(docs: DataFrame, **wanted: str) -> DataFrame:
     """Whole rows as the struct _row, its fields named by place, beside the named columns under new names."""
+    _bounded_batches(docs)
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     return plain.select(F.struct(*plain.columns).alias("_row"), *[F.col(f"c{_place(docs, name)}").alias(alias) for alias, name in wanted.items()])
 

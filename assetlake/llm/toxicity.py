@@ -26,7 +26,7 @@ from assetlake.llm.common import bounded_sample, pack, pick, remainder, summed_c
 #: Labelled rows that training reads at most, half of each label.
 SAMPLE = 6000
 #: Restored units that a worker remembers, and the longest that it does.
-MEMORY, LONGEST = 300_000, 64
+MEMORY, LONGEST = 120_000, 64
 #: Word beginnings that carry evidence, besides the whole word: their lengths.
 BEGINNINGS = range(4, 9)
 #: Pseudo-documents of the evidence ratio, and toxic documents that a feature needs.
