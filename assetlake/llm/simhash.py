@@ -21,12 +21,13 @@ CHUNK, SLAB = 1 << 16, 128
 PER_TASK = 1 << 14
 #: Near copies of whole texts: words in a shingle, and the least similarity.
 LONG_SHINGLE, SIMILARITY = 5, 0.8
-#: Bits by which the fingerprints of sets of that similarity may differ; 10 of 64 are to be expected at 0.8.
-LOOSE = 24
+#: Bits by which the fingerprints of 128 bits of sets of that similarity may differ: 20 are to be expected at 0.8, 64
+#: of unlike sets.
+LOOSE = 40
 #: Cells of the table that tells frequent shingles from others.
 CELLS = 1 << 18
-#: Sets of a component that are compared whole at once.
-SETS = 256
+#: Sets that one task compares whole: so many that may lack a link with so many others.
+LACKING, OTHERS = 256, 2048
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -83,22 +84,23 @@ def _forest(i: np.ndarray, j: np.ndarray, label: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def tiled(bucket: np.ndarray, value: np.ndarray, radius: int = RADIUS, size: np.ndarray | None = None, ratio: float = 0.0, tile: int = TILE, verify=None) -> tuple[np.ndarray, np.ndarray]:
+def tiled(bucket: np.ndarray, value: np.ndarray, radius: int = RADIUS, size: np.ndarray | None = None, ratio: float = 0.0, tile: int = TILE, verify=None, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (row, row) that span the same components as all pairs of a bucket within the radius.
 
     Rows are sorted by bucket and population count and cut into tiles. A pair of tiles that have no
     bucket in common, or whose counts differ beyond the radius, is skipped; any other is compared whole
     by exclusive-or and bit counts. size: of any pair, the smaller must be `ratio` of the larger at
-    least. verify: tells for arrays of rows whether a pair that fits is a link indeed.
+    least. verify: tells for two rows whether a pair that fits is a link indeed. more: further bits of the values.
     """
     n = len(value)
-    ones = np.bitwise_count(value).astype(np.int64)
+    ones = np.bitwise_count(value).astype(np.int64) + (0 if more is None else np.bitwise_count(more).astype(np.int64))
     order = np.lexsort((value, ones, bucket))
     tiles = -(-n // tile)
     spare = tiles * tile - n
     b = np.r_[bucket[order], np.arange(-spare, 0) + (bucket.min(initial=0) - 1)].reshape(tiles, tile) if n else np.zeros((0, tile), np.int64)
     v = np.r_[value[order], np.zeros(spare, value.dtype)].reshape(tiles, tile)
     o = np.r_[ones[order], np.zeros(spare, np.int64)].reshape(tiles, tile)
+    m = None if more is None else np.r_[more[order], np.zeros(spare, more.dtype)].reshape(tiles, tile)
     s = None if size is None else np.r_[size[order], np.zeros(spare, size.dtype)].reshape(tiles, tile).astype(np.float64)
     label, apart = np.arange(n), 0
     left = np.arange(tiles)
@@ -106,7 +108,10 @@ def tiled(bucket: np.ndarray, value: np.ndarray, radius: int = RADIUS, size: np.
         for at in range(0, len(left), SLAB):
             x = left[at : at + SLAB]
             y = x + apart
-            near = (np.bitwise_count(v[x][:, :, None] ^ v[y][:, None, :]) <= radius) & (b[x][:, :, None] == b[y][:, None, :])
+            apart_by = np.bitwise_count(v[x][:, :, None] ^ v[y][:, None, :])
+            if m is not None:
+                apart_by = apart_by + np.bitwise_count(m[x][:, :, None] ^ m[y][:, None, :])
+            near = (apart_by <= radius) & (b[x][:, :, None] == b[y][:, None, :])
             if s is not None:
                 p, q = s[x][:, :, None], s[y][:, None, :]
                 near &= np.minimum(p, q) >= ratio * np.maximum(p, q)
@@ -115,9 +120,9 @@ def tiled(bucket: np.ndarray, value: np.ndarray, radius: int = RADIUS, size: np.
             real = (i < j) & (j < n)
             i, j = i[real], j[real]
             if verify is not None:
-                for k, m in zip(i.tolist(), j.tolist()):  # only what joins two classes is verified
-                    if label[k] != label[m] and verify(order[k], order[m]):
-                        label = _forest(np.array([k]), np.array([m]), label)
+                for k, l_ in zip(i.tolist(), j.tolist()):  # only what joins two classes is verified
+                    if label[k] != label[l_] and verify(order[k], order[l_]):
+                        label = _forest(np.array([k]), np.array([l_]), label)
                 continue
             differ = label[i] != label[j]
             if differ.any():
@@ -140,11 +145,11 @@ def _to_least(i: np.ndarray, j: np.ndarray, node: np.ndarray) -> tuple[np.ndarra
 
 
 def _edges(batches: Iterator[pa.RecordBatch], radius: int, ratio: float) -> Iterator[pa.RecordBatch]:
-    """Compare the rows (bucket, node, fp, size) of each bucket; rows come sorted by bucket."""
+    """Compare the rows (bucket, node, fp, size and perhaps more bits) of each bucket; rows come sorted by bucket."""
     kept: list[np.ndarray] | None = None
 
-    def compare(bucket, node, fp, size) -> pa.RecordBatch:
-        i, j = tiled(bucket, fp.view(np.uint64), radius, size, ratio)
+    def compare(bucket, node, fp, size, more=None) -> pa.RecordBatch:
+        i, j = tiled(bucket, fp.view(np.uint64), radius, size, ratio, more=None if more is None else more.view(np.uint64))
         a, b = _to_least(i, j, node)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -163,10 +168,11 @@ def _edges(batches: Iterator[pa.RecordBatch], radius: int, ratio: float) -> Iter
 
 
 def compared(rows: DataFrame, radius: int, ratio: float = 0.0, per_task: int = PER_TASK) -> DataFrame:
-    """Edges (a, b) that span the components of the rows (bucket, node, fp, size) that share a bucket and fit.
+    """Edges (a, b) that span the components of the rows (bucket, node, fp, size, and perhaps more) that share a bucket and fit.
 
     A bucket of more than per_task rows is cut into parts by a hash of the node, and each pair of
     parts is a bucket of its own, so no task holds more than twice as many."""
+    columns = [c for c in rows.columns if c != "bucket"]
     large = materialize(rows.groupBy("bucket").count().filter(F.col("count") > per_task))
     n = large.count()
     if n:
@@ -174,8 +180,8 @@ def compared(rows: DataFrame, radius: int, ratio: float = 0.0, per_task: int = P
         part = F.pmod(F.xxhash64("node"), parts).cast("int")
         pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.xxhash64(F.col("bucket"), F.least(k, part), F.greatest(k, part)))
         split = F.when(F.col("count").isNull(), F.array("bucket")).otherwise(pairs)
-        rows = join_small(rows, large, "bucket", "left", n).select(F.explode(split).alias("bucket"), "node", "fp", "size")
-    dealt = rows.select("bucket", "node", "fp", "size").repartition("bucket").sortWithinPartitions("bucket")
+        rows = join_small(rows, large, "bucket", "left", n).select(F.explode(split).alias("bucket"), *columns)
+    dealt = rows.select("bucket", *columns).repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(lambda it: _edges(it, radius, ratio), "a long, b long").distinct()
 
 
@@ -257,7 +263,7 @@ def frequent(texts: DataFrame, k: int) -> np.ndarray:
     return np.floor(np.log2(np.maximum(1.0, total / max(1.0, total.mean())))).astype(np.uint8)
 
 
-SET = "struct<class: long, n: int, fp: long, tokens: binary>"
+SET = "struct<class: long, n: int, fp: long, more: long, tokens: binary>"
 
 
 def sets(texts: pa.Array, k: int, similarity: float, rank: np.ndarray | None) -> pa.Array:
@@ -269,27 +275,29 @@ def sets(texts: pa.Array, k: int, similarity: float, rank: np.ndarray | None) ->
             own, n = g[a:b], b - a
             whole = int(mix(np.array([(mix(own.copy()).sum(dtype=np.uint64) if n else np.uint64(0)) + np.uint64(n)], np.uint64)).view(np.int64)[0])
             if rank is None:
-                out.append((whole, n, 0, (own >> np.uint64(32)).astype("<u4").tobytes()))
+                out.append((whole, n, 0, 0, (own >> np.uint64(32)).astype("<u4").tobytes()))
                 continue
-            ones = sum((ones_of(own[c : c + CHUNK]) for c in range(0, n, CHUNK)), np.zeros(64, np.int64))
-            fp = int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
+            prints = []
+            for h in (own, mix(own + np.uint64(1))):
+                ones = sum((ones_of(h[c : c + CHUNK]) for c in range(0, n, CHUNK)), np.zeros(64, np.int64))
+                prints.append(int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0]))
             first = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
             level = rank[(own >> np.uint64(64 - (CELLS - 1).bit_length())).astype(np.int64)]
-            out.append((whole, n, fp, own[np.argsort(level, kind="stable")[:first]].tobytes() if n else b"\0" * 8))
-    names = ("class", "n", "fp", "tokens")
-    return pa.StructArray.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names)
+            out.append((whole, n, *prints, own[np.argsort(level, kind="stable")[:first]].tobytes() if n else b"\0" * 8))
+    names = ("class", "n", "fp", "more", "tokens")
+    return pa.StructArray.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names)
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (bucket, node, fp, size) for each token of each class."""
+    """A row (bucket, node, fp, size, more) for each token of each class."""
     for batch in batches:
-        whole, n, fp = (batch.column(i).to_numpy() for i in range(3))
-        blobs = batch.column(3)
+        whole, n, fp, more = (batch.column(i).to_numpy() for i in range(4))
+        blobs = batch.column(4)
         counts = np.array([len(x.as_buffer()) // 8 for x in blobs], np.int64)
         for a in range(0, len(counts), 256):
             c = counts[a : a + 256]
             bucket = np.frombuffer(b"".join(x.as_py() for x in blobs.slice(a, 256)), "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), *[pa.array(np.repeat(x[a : a + 256], c)) for x in (whole, fp, n)]], ["bucket", "node", "fp", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), *[pa.array(np.repeat(x[a : a + 256], c)) for x in (whole, fp, n, more)]], ["bucket", "node", "fp", "size", "more"])
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -301,25 +309,26 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def _closed(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Links of the rows (bucket, node, set) of each bucket, every pair that could join two classes compared whole;
-    rows come sorted by bucket."""
-    now, nodes, own = None, [], []
+    """Links of the rows (bucket, node, lacking, set) of each bucket, every pair with one that lacks a link that could
+    join two classes compared whole; rows come sorted by bucket."""
+    now, nodes, lacking, own = None, [], [], []
 
     def linked() -> pa.RecordBatch:
         node, size = np.array(nodes, np.int64), np.array([len(x) for x in own])
         same = np.zeros(len(node), np.int64)
-        i, j = tiled(same, same.view(np.uint64), 64, size, similarity, verify=lambda x, y: similar(own[x], own[y], similarity))
+        i, j = tiled(same, same.view(np.uint64), 64, size, similarity, verify=lambda x, y: (lacking[x] or lacking[y]) and similar(own[x], own[y], similarity))
         a, b = _to_least(i, j, node)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     for batch in batches:
-        for bucket, node, blob in zip(*(c.to_pylist() for c in batch.columns)):
+        for bucket, node, lacks, blob in zip(*(c.to_pylist() for c in batch.columns)):
             if bucket != now and nodes:
                 yield linked()
-                nodes.clear()
-                own.clear()
+                for kept in (nodes, lacking, own):
+                    kept.clear()
             now = bucket
             nodes.append(node)
+            lacking.append(lacks)
             own.append(np.unique(np.frombuffer(blob, "<u4")))
     if nodes:
         yield linked()
@@ -332,8 +341,8 @@ def similar_classes(docs: DataFrame, k: int = LONG_SHINGLE, similarity: float =
     Two sets that are so similar share one of their first (1 - similarity) parts, in any order of all
     shingles; here rare ones come first. Sets that share such a token are compared in tiles of fingerprints,
     within a radius that hardly any similar pair exceeds, and what fits is verified by the real
-    similarity: each set with the centre of its star, and all sets of a component that thereby falls
-    apart with each other.
+    similarity: each set with the centre of its star, and where a component thereby falls apart, what isn't
+    of its largest class with all of it.
     """
     spark = docs.sparkSession
     rank = spark.sparkContext.broadcast(frequent(docs.select("text"), k))
@@ -346,10 +355,10 @@ def similar_classes(docs: DataFrame, k: int = LONG_SHINGLE, similarity: float =
 
         return run(F.col("text"))
 
-    made = materialize(docs.select("id", "key", column(True).alias("s")).select("id", "key", "s.class", "s.n", "s.fp", "s.tokens"))
-    rows, tokens = made.select("id", "key", "class"), made.select("class", "n", "fp", "tokens")
-    tokens = tokens.groupBy("class").agg(*[F.first(c).alias(c) for c in ("n", "fp", "tokens")]).select("class", "n", "fp", "tokens")
-    dealt = tokens.mapInArrow(_tokens, "bucket long, node long, fp long, size int")
+    made = materialize(docs.select("id", "key", column(True).alias("s")).select("id", "key", "s.class", "s.n", "s.fp", "s.more", "s.tokens"))
+    rows, tokens = made.select("id", "key", "class"), made.select("class", "n", "fp", "more", "tokens")
+    tokens = tokens.groupBy("class").agg(*[F.first(c).alias(c) for c in ("n", "fp", "more", "tokens")])
+    dealt = tokens.mapInArrow(_tokens, "bucket long, node long, fp long, size int, more long")
     stars = materialize(compared(dealt, loose, similarity, per_task))
     candidates = materialize(components(stars))
     n = candidates.count()
@@ -368,14 +377,21 @@ def similar_classes(docs: DataFrame, k: int = LONG_SHINGLE, similarity: float =
     both = stars.join(whole.select(F.col("node").alias("a"), F.col("set").alias("left")), "a").join(whole.select(F.col("node").alias("b"), F.col("set").alias("right")), "b")
     sure = materialize(both.filter(reached("left", "right")).select("a", "b"))
     settled = materialize(components(sure).withColumnRenamed("component", "own"))
-    open_ = candidates.join(settled, "node", "left").groupBy("component").agg(F.count_distinct(F.coalesce("own", "node")).alias("kinds"), F.count(F.lit(1)).alias("members")).filter("kinds > 1")
-    open_ = materialize(open_.select("component", "members"))
+    # components that fall apart: what isn't of their largest class is compared with all of them
+    parts = candidates.join(settled, "node", "left").select("node", "component", F.coalesce("own", "node").alias("own"))
+    sizes = parts.groupBy("component", "own").count()
+    sizes = sizes.groupBy("component").agg(F.count(F.lit(1)).alias("kinds"), F.sum("count").alias("members"), F.max("count").alias("most"), F.max_by("own", F.struct("count", "own")).alias("main"))
+    open_ = materialize(sizes.filter("kinds > 1").select("component", "main", F.ceil((F.col("members") - F.col("most")) / LACKING).cast("int").alias("p"), F.ceil(F.col("members") / OTHERS).cast("int").alias("q")))
     m = open_.count()
     if m:
-        parts = F.ceil(F.col("members") / SETS).cast("int")
-        part = F.pmod(F.xxhash64("node"), parts).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.xxhash64(F.col("component"), F.least(x, part), F.greatest(x, part)))
-        groups = join_small(whole, open_, "component", "inner", m).select(F.explode(pairs).alias("bucket"), "node", "set")
+        members = join_small(parts, open_, "component", "inner", m)
+        members = materialize(members.select("node", "p", "q", "component", (F.col("own") != F.col("main")).alias("lacking")))
+        held = whole.drop("component").join(members, "node")
+        place = lambda by, seed: F.pmod(F.xxhash64("node", F.lit(seed)), by).cast("int")
+        every = lambda by: F.explode(F.sequence(F.lit(0), by - 1))
+        mine = held.filter("lacking").select("component", place(F.col("p"), 1).alias("i"), every(F.col("q")).alias("j"), "node", F.lit(True).alias("lacking"), "set")
+        others = held.select("component", every(F.col("p")).alias("i"), place(F.col("q"), 2).alias("j"), "node", F.lit(False).alias("lacking"), "set")
+        groups = mine.unionByName(others).select(F.xxhash64("component", "i", "j").alias("bucket"), "node", "lacking", "set")
         more = groups.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _closed(it, similarity), "a long, b long")
         settled = materialize(components(sure.unionByName(more.distinct())).withColumnRenamed("component", "own"))
     return rows, settled.select(F.col("node").alias("class"), F.col("own").alias("component"))
