@@ -43,7 +43,7 @@ def payloads(catalog: Catalog, rows: DataFrame) -> DataFrame:
     """JOIN-03: rows (file, source, offset, size, inline, ...) with `data`: the inline bytes, or a range of
     the resource that the source names, by its normalised path or by its portable name; the earliest wins.
 
-    A resource is joined to the rows that name it and cut at once; its whole content isn't carried on.
+    The ranges that are asked of a resource go to it, and are cut there; its content isn't moved.
     """
     items = catalog.items.filter("kind = 'resource'").select(F.struct("root", "seq").alias("at"), "file", "content")
     names = items.select("at", text.ascii_lower(text.portable_name(F.col("file"))).alias("key")).groupBy("key").agg(F.min("at").alias("at"))
@@ -51,11 +51,13 @@ def payloads(catalog: Catalog, rows: DataFrame) -> DataFrame:
     asked = rows.withColumn("_path", text.resource_path(F.col("source"))).withColumn("_name", text.ascii_lower(text.portable_name(F.col("source"))))
     a, b = paths.select(F.col("key").alias("_path"), F.col("at").alias("_a")), names.select(F.col("key").alias("_name"), F.col("at").alias("_b"))
     found = asked.join(a, "_path", "left").join(b, "_name", "left").withColumn("_at", F.when(F.col("source") != "", F.least("_a", "_b")))
-    joined = found.join(items.select(F.col("at").alias("_at"), "content"), "_at", "left")
-    part = F.expr("substring(content, cast(offset + 1 as int), cast(size as int))")
-    inside = F.col("content").isNotNull() & (F.col("offset") >= 0) & (F.col("size") >= 0) & (F.col("offset") + F.col("size") <= F.octet_length("content"))
-    data = F.when(F.coalesce(F.col("source"), F.lit("")) == "", F.col("inline")).when(inside, part)
-    return joined.withColumn("data", data).drop("_path", "_name", "_a", "_b", "_at", "content")
+    ranges = found.filter("_at is not null and offset >= 0 and size >= 0").groupBy("_at").agg(F.collect_set(F.struct(F.col("offset").cast("long").alias("o"), F.col("size").cast("long").alias("n"))).alias("_ranges"))
+    held = items.select(F.col("at").alias("_at"), "content").join(ranges, "_at")
+    inside = held.select("_at", "content", F.explode(F.filter("_ranges", lambda r: r["o"] + r["n"] <= F.octet_length("content"))).alias("_r"))
+    pieces = inside.select("_at", F.col("_r.o").alias("_o"), F.col("_r.n").alias("_n"), F.expr("substring(content, cast(_r.o + 1 as int), cast(_r.n as int))").alias("_piece"))
+    joined = found.withColumn("_o", F.col("offset").cast("long")).withColumn("_n", F.col("size").cast("long")).join(pieces, ["_at", "_o", "_n"], "left")
+    data = F.when(F.coalesce(F.col("source"), F.lit("")) == "", F.col("inline")).otherwise(F.col("_piece"))
+    return joined.withColumn("data", data).drop("_path", "_name", "_a", "_b", "_at", "_o", "_n", "_piece")
 
 
 def _bytes(column: Column) -> Column:

@@ -29,6 +29,23 @@ def first_by(df: DataFrame, keys: list[str], value: Column, seq: Column, name: s
     return df.groupBy(*keys).agg(F.min_by(value, seq).alias(name))
 
 
+def first_seen(df: DataFrame, keys: list[str], seq: Column, name: str, count: str) -> DataFrame:
+    """AGG-14, SET-02: the first position of each distinct key, and how often it is there."""
+    return df.groupBy(*keys).agg(F.min(seq).alias(name), F.count(F.lit(1)).alias(count))
+
+
+def inherit(rows: DataFrame, others: DataFrame, on: str, own: str, other: str, allowed: Column | None = None) -> DataFrame:
+    """JOIN-05, JOIN-06: a row's own name, else, where it is allowed, that of what it refers to."""
+    joined = rows.join(others, on, "left")
+    found = F.col(other) if allowed is None else F.when(allowed, F.col(other))
+    return joined.withColumn(own, F.coalesce(own, found)).drop(other)
+
+
+def expand(controllers: DataFrame, clips: DataFrame, source: str) -> DataFrame:
+    """JOIN-17: the clips of the controller that each controller takes them from: itself, or the one it overrides."""
+    return controllers.join(clips, source)
+
+
 def last_by(df: DataFrame, keys: list[str], value: Column, seq: Column, name: str) -> DataFrame:
     """WIN-09: the value of the latest row of each key."""
     return df.groupBy(*keys).agg(F.max_by(value, seq).alias(name))
@@ -45,11 +62,21 @@ def either_key(left: DataFrame, right: DataFrame, first: tuple[str, str], second
 def assign_slices(slices: DataFrame, items: DataFrame, owner: str, position: str) -> DataFrame:
     """JOIN-04, JOIN-16: give each item the latest slice [first, first + length) that holds its position.
 
-    slices: owner, key, seq, first, length. The range is spelt out as positions, so the join is an
-    equi join on (owner, position), and the latest assignment is a partial aggregate.
+    slices: owner, key, seq, first, length; positions from 0 on, each once for an owner. A slice is cut
+    into blocks of a power of two of positions, two of a size at most, and an item lies in one block of
+    each size: the join is an equi join, and rows grow with the logarithm of the lengths.
     """
-    places = slices.filter("length > 0").select(owner, "key", "seq", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("length") - 1)).alias(position))
-    chosen = places.groupBy(owner, position).agg(F.max_by("key", "seq").alias("container"))
+    cut = slices.filter("length > 0").select(owner, "key", "seq", F.col("first").alias("_lo"), (F.col("first") + F.col("length")).alias("_hi"))
+    longest = cut.agg(F.max(F.col("_hi") - F.col("_lo"))).first()[0] or 0
+    sizes = F.explode(F.sequence(F.lit(0), F.lit(int(longest).bit_length()))).alias("_size")
+    one = F.lit(1).cast("long")
+    cut = cut.select("*", sizes).withColumn("_power", F.call_function("shiftleft", one, F.col("_size")))
+    cut = cut.withColumn("_lo", F.ceil(F.col("_lo") / F.col("_power"))).withColumn("_hi", F.floor(F.col("_hi") / F.col("_power"))).filter("_lo < _hi")
+    blocks = F.array(F.when(F.col("_lo") % 2 == 1, F.col("_lo")), F.when(F.col("_hi") % 2 == 1, F.col("_hi") - 1))
+    cut = cut.select(owner, "key", "seq", "_size", F.explode(blocks).alias("_block")).filter("_block is not null")
+    best = cut.groupBy(owner, "_size", "_block").agg(F.max(F.struct("seq", "key")).alias("_best"))
+    asked = items.select(owner, position, sizes).withColumn("_block", F.floor(F.col(position) / F.call_function("shiftleft", one, F.col("_size"))))
+    chosen = asked.join(best, [owner, "_size", "_block"]).groupBy(owner, position).agg(F.max("_best")["key"].alias("container"))
     return items.join(chosen, [owner, position], "left")
 
 

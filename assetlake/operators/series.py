@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assetlake.operators.storage import written
+
 
 def offsets(df: DataFrame, by: list[str], order: list[str], width: str, name: str) -> DataFrame:
     """WIN-05: the sum of the widths before each row."""
@@ -42,22 +44,32 @@ def trimmed(frames: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
 def segments(keys: DataFrame, by: str, order: list[str], key: str, value: str) -> DataFrame:
     """WIN-01: walk over a curve's keys; a dip that is made good at once takes two keys (inverse
-    stepped), any other segment one: stepped, linear or bezier. The walk is a fold over the curve's
-    ordered keys, on the JVM."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(key).alias("_key"), F.col(value).alias("_value")))), lambda x: F.struct(x["_key"].alias("k"), x["_value"].alias("v")))
-    curves = keys.groupBy(by).agg(ordered.alias("keys"))
-    v = lambda i: F.get(F.col("keys"), i)["v"]
-
-    def step(state, i):
-        dip = F.coalesce((v(i + 1) < v(i)) & (v(i + 2) > v(i)), F.lit(False))
-        kind = F.when(dip, "inverse_stepped").when(v(i + 1) > v(i) * 2, "stepped").when(F.abs(v(i + 1) - v(i)) < 1, "linear").otherwise("bezier")
-        fresh = F.struct((i + F.when(dip, 2).otherwise(1)).alias("next"), F.concat(state["out"], F.array(F.struct(F.get(F.col("keys"), i)["k"].alias("k"), kind.alias("segment")))).alias("out"))
-        return F.when((i == state["next"]) & (i + 1 < F.size("keys")), fresh).otherwise(state)
-
-    kind = keys.schema[key].dataType.simpleString()
-    start = F.struct(F.lit(0).alias("next"), F.expr(f"cast(array() as array<struct<k: {kind}, segment: string>>)").alias("out"))
-    walked = curves.select(by, F.aggregate(F.sequence(F.lit(0), F.size("keys") - 1), start, step)["out"].alias("out"))
-    return walked.select(by, F.inline("out").alias(key, "segment"))
+    stepped), any other segment one: stepped, linear or bezier. Of two neighbouring keys one at most
+    starts a dip, so the key after a dip is what the walk leaves out."""
+    w = Window.partitionBy(by).orderBy(*order)
+    now, one, two = F.col("_value"), F.col("_one"), F.col("_two")
+    walked = keys.select(by, *order, F.col(key).alias("_key"), F.col(value).alias("_value")).select("*", F.lead("_value").over(w).alias("_one"), F.lead("_value", 2).over(w).alias("_two"))
+    walked = walked.withColumn("_dip", F.coalesce((one < now) & (two > now), F.lit(False)))
+    walked = walked.withColumn("_inside", F.lag("_dip", 1, False).over(w)).filter(~F.col("_inside") & one.isNotNull())
+    kind = F.when(F.col("_dip"), "inverse_stepped").when(one > now * 2, "stepped").when(F.abs(one - now) < 1, "linear").otherwise("bezier")
+    return walked.select(by, F.col("_key").alias(key), kind.alias("segment"))
+
+
+def placed(df: DataFrame, order: list, name: str) -> DataFrame:
+    """SRT-04: the place of every row in a total order, from 1: ranges are sorted apart from each other and shifted
+    by the sizes of those before."""
+    parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    within = written(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, shift, total = F.shiftright("_at", 33), F.lit(0).cast("long"), 0
+    for p, n in sorted((r["p"], r["count"]) for r in within.groupBy(part.alias("p")).count().collect()):
+        shift = F.when(part == p, F.lit(total).cast("long")).otherwise(shift)
+        total += n
+    return within.withColumn(name, shift + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at")
+
+
+def recent(df: DataFrame, by: list[str], order: list, most: int) -> DataFrame:
+    """SRT-05: the first `most` rows of each group in an order."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= most).drop("_n")
 
 
 def dense(df: DataFrame, key: str, samples: str, curves: int, begin: float, rate: float) -> DataFrame:

@@ -11,22 +11,22 @@ from assetlake.plans.registry import query, table
 
 @query("""
 SELECT p.p_partkey, coalesce(e.entry, p.p_partkey) AS data, e.entry IS NOT NULL AS from_atlas FROM part p
-LEFT JOIN (SELECT p_brand, p_size, min(p_partkey) AS entry FROM part WHERE p_partkey % 3 = 0 GROUP BY 1, 2) e USING (p_brand, p_size)""")
+LEFT JOIN (SELECT p_brand, p_size, min(p_partkey) AS entry FROM part WHERE p_retailprice < 1000 GROUP BY 1, 2) e USING (p_brand, p_size)""")
 def render_key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-11: sprites by a composite key, with their own data where it is missing."""
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
-    return assembly.render_keys(parts, parts.filter("p_partkey % 3 = 0"), ["p_brand", "p_size"], "p_partkey", "p_partkey", "p_partkey").select("p_partkey", "data", "from_atlas")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
+    return assembly.render_keys(parts, parts.filter("p_retailprice < 1000"), ["p_brand", "p_size"], "p_partkey", "p_partkey", "p_partkey").select("p_partkey", "data", "from_atlas")
 
 
 def _lists(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
-    lists = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("owner"), F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: (F.col("c_custkey") * 3 + i * i % 3 * 7) % 20000).alias("items"))
+    lists = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("owner"), F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.col("c_custkey") * 9 + i * i % 3 * 7).alias("items"))
     targets = orders.select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("role"))
     return assembly.reference_list(lists, "owner", "items", targets, "key", F.col("role") == "F")
 
 
 _LISTS = """
-WITH r AS (SELECT c_custkey AS owner, (c_custkey * 3 + i * i % 3 * 7) % 20000 AS key, CAST(min(i) AS INTEGER) AS pos FROM customer, range(5) v(i) GROUP BY 1, 2)
+WITH r AS (SELECT c_custkey AS owner, c_custkey * 9 + i * i % 3 * 7 AS key, CAST(min(i) AS INTEGER) AS pos FROM customer, range(5) v(i) GROUP BY 1, 2)
 """
 
 

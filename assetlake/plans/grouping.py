@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlake.operators import naming, series
 from assetlake.plans.registry import query, table
+from assetlake.sources.catalog import running_budget
 
 
 @query("""
@@ -23,9 +24,8 @@ WITH t AS (SELECT o_custkey, o_orderkey, sum(CAST(floor(o_totalprice) AS BIGINT)
 SELECT o_custkey, o_orderkey, CAST(total AS BIGINT) AS total FROM t WHERE total <= 500000""")
 def budget_running_cutoff(spark, sf_dir):
     """AGG-05: rows before a budget's running total is above its limit."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.floor("o_totalprice").cast("long").alias("size"))
-    return orders.select("o_custkey", "o_orderkey", F.sum("size").over(w).alias("total")).filter("total <= 500000")
+    return running_budget(orders, ["o_custkey"], ["o_orderkey"], "size", 500000, "total").select("o_custkey", "o_orderkey", "total")
 
 
 @query("""
@@ -54,12 +54,12 @@ def bone_influence_invert(spark, sf_dir):
 
 @query("""
 WITH s AS (SELECT p_partkey, p_brand, 1 + p_size % 4 AS width, sum(1 + p_size % 4) OVER (PARTITION BY p_brand ORDER BY p_partkey) - (1 + p_size % 4) AS start FROM part),
-i AS (SELECT p_brand, CAST(x AS BIGINT) AS idx FROM (SELECT DISTINCT p_brand FROM part), range(0, 200, 7) r(x))
+i AS (SELECT p_brand, unnest(range(0, total, 7)) AS idx FROM (SELECT p_brand, CAST(sum(1 + p_size % 4) AS BIGINT) AS total FROM part GROUP BY 1))
 SELECT i.p_brand, i.idx, s.p_partkey AS binding, i.idx = s.start AS on_start FROM i JOIN s ON i.p_brand = s.p_brand AND i.idx >= s.start AND i.idx < s.start + s.width""")
 def binding_span_join(spark, sf_dir):
     """JOIN-16, WIN-05: which span of running widths holds an index."""
     parts = table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("binding"), (1 + F.col("p_size") % 4).cast("long").alias("width"))
-    indices = parts.select("p_brand").distinct().select("p_brand", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(199).cast("long"), F.lit(7).cast("long"))).alias("idx"))
+    indices = parts.groupBy("p_brand").agg(F.sum("width").alias("total")).select("p_brand", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(7).cast("long"))).alias("idx"))
     return series.spans(parts, indices, ["p_brand"], "binding", "width", "idx").select("p_brand", "idx", "binding", "on_start")
 
 
@@ -156,7 +156,6 @@ def clip_selection(spark, sf_dir):
 @query("SELECT url, page_id, CAST(row_number() OVER (PARTITION BY lower(regexp_extract(url, '://([^/]*)', 1)) ORDER BY page_id) AS INTEGER) AS ordinal FROM pages")
 def claim_ordinals(spark, sf_dir):
     """STR-06, WIN-04: the ordinal of each claimant of a case-folded key."""
-    w = Window.partitionBy(F.lower(F.regexp_extract("url", "://([^/]*)", 1))).orderBy("page_id")
-    return table(spark, sf_dir, "pages").select("url", "page_id", F.row_number().over(w).alias("ordinal"))
+    return naming.ordinals(table(spark, sf_dir, "pages"), F.regexp_extract("url", "://([^/]*)", 1), "page_id").select("url", "page_id", "ordinal")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assetlake.functions import text
 from assetlake.operators import references as ref
+from assetlake.operators import series
 from assetlake.plans.registry import query, table
 
 
@@ -90,9 +91,11 @@ FROM supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey LEFT JOIN re
 def name_inheritance(spark, sf_dir):
     """JOIN-05, JOIN-06: an own name, else one inherited from what is referred to."""
     s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
-    joined = s.join(n, s.s_nationkey == n.n_nationkey, "left").join(r, n.n_regionkey == r.r_regionkey, "left")
     third = F.col("s_suppkey") % 3
-    return joined.select("s_suppkey", F.coalesce(F.when(third == 0, F.col("s_name")), F.when(third == 1, F.col("n_name")), F.col("r_name")).alias("name"))
+    own = s.select("s_suppkey", F.col("s_nationkey").alias("to"), F.when(third == 0, F.col("s_name")).alias("own"), third.alias("third"))
+    first = ref.inherit(own, n.select(F.col("n_nationkey").alias("to"), F.col("n_name").alias("other"), F.col("n_regionkey").alias("next")), "to", "own", "other", F.col("third") == 1)
+    second = ref.inherit(first.drop("to").withColumnRenamed("next", "to"), r.select(F.col("r_regionkey").alias("to"), F.col("r_name").alias("other")), "to", "own", "other")
+    return second.select("s_suppkey", F.col("own").alias("name"))
 
 
 @query("SELECT user_id, event_type, max_by(value, event_id) AS value FROM events GROUP BY 1, 2")
@@ -104,7 +107,8 @@ def last_component_wins(spark, sf_dir):
 @query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
 def first_wins_dedup(spark, sf_dir):
     """AGG-14, SET-02: the first position of each distinct value."""
-    return table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).select("doc_id", "copies")
+    docs = table(spark, sf_dir, "documents")
+    return ref.first_seen(docs, ["text"], F.col("doc_id"), "doc_id", "copies").select("doc_id", "copies")
 
 
 @query("""
@@ -123,17 +127,17 @@ def override_expand(spark, sf_dir):
     """JOIN-17: an overriding controller exposes its base's clips."""
     controllers = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("controller"), F.when(F.col("n_nationkey") % 2 == 1, F.col("n_regionkey") * 5).otherwise(F.col("n_nationkey")).alias("source"))
     clips = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("source"), F.col("s_suppkey").alias("clip"))
-    return controllers.join(clips, "source").select("controller", "clip")
+    return ref.expand(controllers, clips, "source").select("controller", "clip")
 
 
 @query("""
-WITH s AS (SELECT p_type, p_size, p_brand AS layout, p_partkey AS seq FROM part WHERE p_partkey % 5 = 0),
+WITH s AS (SELECT p_type, p_size, p_brand AS layout, p_partkey AS seq FROM part WHERE p_size < 25),
 e AS (SELECT p_type, p_size, min_by(layout, seq) AS l FROM s GROUP BY 1, 2), f AS (SELECT p_type, min_by(layout, seq) AS l FROM s GROUP BY 1)
 SELECT p.p_partkey, coalesce(e.l, f.l) AS found FROM part p LEFT JOIN e USING (p_type, p_size) LEFT JOIN f USING (p_type)""")
 def schema_exact_or_fallback(spark, sf_dir):
     """JOIN-18: a schema of the exact version, else one without a version; the first document wins."""
     parts = table(spark, sf_dir, "part")
-    schemas = parts.filter("p_partkey % 5 = 0").select("p_type", "p_size", F.col("p_brand").alias("layout"), F.col("p_partkey").alias("seq"))
+    schemas = parts.filter("p_size < 25").select("p_type", "p_size", F.col("p_brand").alias("layout"), F.col("p_partkey").alias("seq"))
     return ref.exact_or_fallback(parts.select("p_partkey", "p_type", "p_size"), schemas, ["p_type", "p_size"], ["p_type"], "layout", "seq").select("p_partkey", "found")
 
 
@@ -195,15 +199,15 @@ def missing_parents(spark, sf_dir):
 
 @query("""
 SELECT m.p_partkey, m.prop, t.p_partkey AS texture FROM (
-  SELECT p_partkey, prop, p_partkey * 3 % 2500 AS target FROM part, (VALUES ('_MainTex'), ('_BumpMap')) v(prop) WHERE p_partkey % 4 <> 0) m
-JOIN part t ON m.target + CASE WHEN prop = '_MainTex' THEN 0 ELSE 1 END = t.p_partkey AND t.p_size < 40""")
+  SELECT p_partkey, prop, p_partkey + CASE WHEN prop = '_MainTex' THEN p_size ELSE -p_size END AS target FROM part, (VALUES ('_MainTex'), ('_BumpMap')) v(prop)) m
+JOIN part t ON m.target = t.p_partkey AND t.p_size < 40""")
 def material_texture_bind(spark, sf_dir):
     """JOIN-12: texture slots of materials; dangling references and other classes are skipped."""
     parts = table(spark, sf_dir, "part")
-    slots = parts.filter("p_partkey % 4 <> 0").select("p_partkey", F.explode(F.array(F.struct(F.lit("_MainTex").alias("prop"), F.lit(0).alias("add")), F.struct(F.lit("_BumpMap").alias("prop"), F.lit(1).alias("add")))).alias("s"))
-    slots = slots.select("p_partkey", "s.prop", (F.col("p_partkey") * 3 % 2500 + F.col("s.add")).alias("key"))
-    textures = parts.filter("p_size < 40").select(F.col("p_partkey").alias("key"), F.col("p_partkey").alias("texture"))
-    return slots.join(textures, "key").select("p_partkey", "prop", "texture")
+    slots = parts.select("p_partkey", F.explode(F.array(F.struct(F.lit("_MainTex").alias("prop"), F.col("p_size").alias("add")), F.struct(F.lit("_BumpMap").alias("prop"), (-F.col("p_size")).alias("add")))).alias("s"))
+    slots = slots.select("p_partkey", "s.prop", (F.col("p_partkey") + F.col("s.add")).alias("key"))
+    textures = parts.select(F.col("p_partkey").alias("key"), F.col("p_partkey").alias("texture"), "p_size")
+    return ref.resolve(slots, textures, ["key"], wanted=F.col("p_size") < 40, how="inner").select("p_partkey", "prop", "texture")
 
 
 @query("SELECT c_mktsegment AS kind, count(*) AS n FROM customer GROUP BY 1")
@@ -215,17 +219,11 @@ def definition_counts(spark, sf_dir):
 @query("SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r <= 4")
 def recent_top_k(spark, sf_dir):
     """SRT-05: the most recent entries of each cache."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    return table(spark, sf_dir, "orders").withColumn("r", F.row_number().over(order)).filter("r <= 4").select("o_orderkey", "o_custkey")
+    return series.recent(table(spark, sf_dir, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")], 4).select("o_orderkey", "o_custkey")
 
 
-@query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY reverse(p_name), p_partkey) AS BIGINT) AS place FROM part QUALIFY place <= 100")
+@query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY reverse(p_name), p_partkey) AS BIGINT) AS place FROM part")
 def reversed_path_sort(spark, sf_dir):
-    """SRT-04: an index sorted by reversed paths, its first entries."""
-    from pyspark.sql import Window
-
-    first = table(spark, sf_dir, "part").orderBy(F.reverse("p_name"), "p_partkey").limit(100)
-    order = Window.orderBy(F.reverse("p_name"), "p_partkey")  # over the hundred rows alone
-    return first.select("p_partkey", F.row_number().over(order).cast("long").alias("place"))
+    """SRT-04: every entry's place in an index sorted by reversed paths."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.reverse("p_name").alias("reversed"))
+    return series.placed(rows, ["reversed", "p_partkey"], "place").select("p_partkey", "place")

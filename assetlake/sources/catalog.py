@@ -19,7 +19,7 @@ from assetlake.functions import formats, text
 from assetlake.sources import readers
 from assetlake.sources.binary import AssetError
 from assetlake.sources.containers import Limits, expand
-from assetlake.sources.serialized import decode, jsonable, parse
+from assetlake.sources.serialized import decode, decode_fields, jsonable, parse
 
 ITEMS = "root string, seq int, file string, kind string, depth int, revision string, content binary, family string, message string"
 PARSED = """struct<format: int, unity_version: string, platform: int, big: boolean,
@@ -131,10 +131,22 @@ class Catalog:
     # ------------------------------------------------------------ values
     def raw(self, limit: int = 1 << 30) -> DataFrame:
         """PRJ-02: the bytes of each object, an error above the limit."""
-        inside = F.expr("substring(content, cast(byte_start + 1 as int), cast(byte_size as int))")
-        joined = self.objects.join(self.items.filter("kind = 'serialized'").select("file", "content"), "file")
-        checked = F.when(F.col("byte_size") > limit, F.raise_error(F.concat(F.lit("object above the limit: "), F.col("path_id")))).otherwise(inside)
-        return joined.select("file", "object_index", "path_id", "class_id", checked.alias("bytes"))
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for label, revision, content in zip(frame["file"], frame["revision"], frame["content"]):
+                    try:
+                        data = bytes(content)
+                        objects = parse(data, revision).objects
+                    except AssetError:
+                        continue  # it is among the diagnostics
+                    for o in objects:
+                        if o.size > limit:
+                            raise ValueError(f"object above the limit: {o.path_id}")
+                    for at in range(0, len(objects), 1000):
+                        yield pd.DataFrame([(label, at + i, o.path_id, o.class_id, data[o.start : o.start + o.size]) for i, o in enumerate(objects[at : at + 1000])], columns=["file", "object_index", "path_id", "class_id", "bytes"])
+
+        return self.items.filter("kind = 'serialized'").select("file", "revision", "content").mapInPandas(run, "file string, object_index int, path_id long, class_id int, bytes binary")
 
     def values(self, class_ids: list[int] | None = None, fields: list[str] | None = None, schemas: Callable | None = None) -> DataFrame:
         """PRJ-03 to PRJ-07: objects as JSON, decoded by their type tree, by a caller's (schemas takes a
@@ -158,7 +170,10 @@ class Catalog:
                         try:
                             nodes = f.types[o.type_index].nodes if o.type_index is not None else []
                             nodes = nodes or (schemas(o.class_id) if schemas else None)
-                            value = decode(part, f.big, nodes) if nodes else readers.read(o.class_id, part, f.big, f.version)
+                            if nodes and kept is not None:  # the name is read for its own column
+                                value = decode_fields(part, f.big, nodes, kept | {"m_Name"})
+                            else:
+                                value = decode(part, f.big, nodes) if nodes else readers.read(o.class_id, part, f.big, f.version)
                             name = readers.name_of(o.class_id, value)
                             if kept is not None:
                                 value = [(k, v) for k, v in value if k in kept]
@@ -268,7 +283,7 @@ class Catalog:
         return self.objects.groupBy("class_id").agg(F.count(F.lit(1)).alias("objects"), F.sum("byte_size").alias("bytes")).withColumn("class_name", F.element_at(names, F.col("class_id"))).orderBy("class_id")
 
 
-def running_budget(df: DataFrame, by: list[str], order: list[str], size: str, limit: int) -> DataFrame:
-    """AGG-05: rows before the running total is above the limit."""
+def running_budget(df: DataFrame, by: list[str], order: list[str], size: str, limit: int, name: str = "total") -> DataFrame:
+    """AGG-05: rows before the running total is above the limit, with that total."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_total", F.sum(size).over(w)).filter(F.col("_total") <= limit).drop("_total")
+    return df.withColumn(name, F.sum(size).over(w)).filter(F.col(name) <= limit)

@@ -11,7 +11,9 @@ import zipfile
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+
+import pyarrow as pa
 
 from assetlake.sources.binary import Budget, InvalidData, Reader, Unsupported
 
@@ -91,46 +93,17 @@ def detect(data: bytes) -> tuple[str, int]:
 # ---------------------------------------------------------------- block codecs
 def lz4_block(data: bytes, size: int) -> bytes:
     """An LZ4 block of a known decoded size."""
-    out, at, n = bytearray(), 0, len(data)
-
-    def length(start: int) -> int:
-        nonlocal at
-        if start < 15:
-            return start
-        while True:
-            if at >= n:
-                raise InvalidData("an LZ4 length is cut off")
-            at += 1
-            start += data[at - 1]
-            if data[at - 1] != 255:
-                return start
-
-    while at < n:
-        token = data[at]
-        at += 1
-        literals = length(token >> 4)
-        if at + literals > n or len(out) + literals > size:
-            raise InvalidData("LZ4 literals are out of bounds")
-        out += data[at : at + literals]
-        at += literals
-        if at >= n:
-            break
-        if at + 2 > n:
-            raise InvalidData("an LZ4 offset is cut off")
-        back = data[at] | data[at + 1] << 8
-        at += 2
-        match = length(token & 15) + 4
-        if not 0 < back <= len(out) or len(out) + match > size:
-            raise InvalidData("an LZ4 match is out of bounds")
-        start = len(out) - back
-        if back >= match:
-            out += out[start : start + match]
-        else:  # a match that runs into what it writes repeats its pattern
-            pattern = bytes(out[start:])
-            out += (pattern * (match // back + 1))[:match]
+    if not size:
+        if data not in (b"", b"\0"):
+            raise InvalidData("an LZ4 block gave more than no bytes")
+        return b""
+    try:
+        out = pa.Codec("lz4_raw").decompress(data, size, asbytes=True)
+    except (OSError, ValueError) as e:
+        raise InvalidData(f"LZ4: {e}") from e
     if len(out) != size:
         raise InvalidData(f"an LZ4 block gave {len(out)} bytes, not {size}")
-    return bytes(out)
+    return out
 
 
 def lzma_block(data: bytes, size: int) -> bytes:
@@ -193,15 +166,21 @@ class Bundle:
     entries: list[tuple[str, int, int, int]]  # path, offset, size, flags
     data: bytes  # stored blocks
     oodle: Callable | None = None
+    last: tuple[int, bytes] = field(default=(-1, b""), repr=False)  # the block decoded last: entries follow each other
+
+    def block(self, number: int, start: int) -> bytes:
+        if self.last[0] != number:
+            decoded, packed, flags = self.blocks[number]
+            self.last = number, decode_block(flags & 0x3F, self.data[start : start + packed], decoded, self.oodle)
+        return self.last[1]
 
     def entry(self, index: int) -> bytes:
         """SRC-09: only the blocks that overlap the entry are decoded."""
         _, offset, size, _ = self.entries[index]
         out, raw, stored = [], 0, 0
-        for decoded, packed, flags in self.blocks:
+        for number, (decoded, packed, _) in enumerate(self.blocks):
             if raw < offset + size and raw + decoded > offset:
-                block = decode_block(flags & 0x3F, self.data[stored : stored + packed], decoded, self.oodle)
-                out.append(block[max(0, offset - raw) : offset + size - raw])
+                out.append(self.block(number, stored)[max(0, offset - raw) : offset + size - raw])
             raw, stored = raw + decoded, stored + packed
         content = b"".join(out)
         if len(content) != size:
@@ -293,6 +272,18 @@ def gunzip(data: bytes, most: int) -> bytes:
     return out
 
 
+def unbrotli(data: bytes, most: int) -> bytes:
+    """SRC-13: one whole stream of bounded size."""
+    try:
+        with pa.CompressedInputStream(pa.BufferReader(data), "brotli") as f:
+            out = f.read(most + 1)
+    except (OSError, ValueError) as e:
+        raise InvalidData(f"brotli: {e}") from e
+    if len(out) > most:
+        raise InvalidData(f"brotli: more than {most} bytes")
+    return out
+
+
 def zip_entries(data: bytes, most: int) -> Iterator[tuple[str, bytes]]:
     """SRC-14: stored and deflated files; unsafe paths are invalid, encryption and links unsupported."""
     try:
@@ -354,7 +345,7 @@ def expand(label: str, content: bytes, limits: Limits = Limits(), oodle: Callabl
         elif kind == "gzip":
             children = [("", gunzip(content, limits.bytes - size.used), revision)]
         elif kind == "brotli":
-            raise Unsupported("there is no Brotli decoder here")
+            children = [("", unbrotli(content, limits.bytes - size.used), revision)]
         else:
             yield Item(label, kind, content, depth, revision)
         for name, data, rev in children:

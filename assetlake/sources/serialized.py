@@ -217,6 +217,7 @@ class Tree:
         if not nodes:
             raise Unsupported("the file has no type tree of this object")
         self.nodes, self.children = nodes, [[] for _ in nodes]
+        self._fixed: dict[int, int | None] = {}
         above: list[int] = []
         for i, n in enumerate(nodes):
             del above[n.level :]
@@ -246,6 +247,65 @@ class Tree:
             r.align(4)
         return value
 
+    def fields(self, r: Reader, wanted: set[str]) -> list[tuple[str, object]]:
+        """PRJ-04: the wanted fields of the root record; others are passed over without making their values, and
+        what follows the last wanted one isn't read."""
+        left, out = sum(self.nodes[k].name in wanted for k in self.children[0]), []
+        for k in self.children[0]:
+            if not left:
+                break
+            if self.nodes[k].name in wanted:
+                out.append((self.nodes[k].name, self.read(r, k)))
+                left -= 1
+            else:
+                self.skip(r, k)
+        return out
+
+    def fixed(self, i: int) -> int | None:
+        """The bytes that a node always takes, if it does and nothing in it is followed by padding."""
+        if i not in self._fixed:
+            node, below = self.nodes[i], self.children[i]
+            size = None
+            if node.type in PRIMITIVES and not below and node.byte_size > 0:
+                size = node.byte_size
+            elif below and not node.type_flags & IS_ARRAY and node.type not in ("string", "TypelessData") and self.nodes[below[0]].type != "Array":
+                parts = [None if self.nodes[k].meta_flags & ALIGN else self.fixed(k) for k in below]
+                size = None if None in parts else sum(parts)
+            self._fixed[i] = size
+        return self._fixed[i]
+
+    def skip(self, r: Reader, i: int) -> None:
+        """Pass over a node's value."""
+        node, below = self.nodes[i], self.children[i]
+        if (size := self.fixed(i)) is not None:
+            r.take(size)
+        elif node.type == "string":
+            r.take(r.count(1, "string bytes"))
+            if below and self.nodes[below[0]].meta_flags & ALIGN:
+                r.align(4)
+        elif node.type == "TypelessData":
+            r.take(r.count(1, "bytes"))
+        elif node.type_flags & IS_ARRAY or (len(below) == 1 and self.nodes[below[0]].type == "Array"):
+            array = i if node.type_flags & IS_ARRAY else below[0]
+            element = self.children[array][1]
+            n, size = r.count(0, "elements"), self.fixed(element)
+            if size is not None and not self.nodes[element].meta_flags & ALIGN:
+                r.take(n * size)
+            else:
+                if n > r.end - r.at and self.nodes[element].byte_size != 0:
+                    raise InvalidData(f"{n} elements don't fit")
+                for _ in range(n):
+                    self.skip(r, element)
+            if array != i and self.nodes[array].meta_flags & ALIGN:
+                r.align(4)
+        elif node.type in PRIMITIVES and not below:
+            PRIMITIVES[node.type](r)
+        else:
+            for k in below:
+                self.skip(r, k)
+        if node.meta_flags & ALIGN:
+            r.align(4)
+
     def _items(self, r: Reader, element: int):
         n, kind = r.count(0, "elements"), self.nodes[element]
         if kind.type in ("UInt8", "SInt8", "char") and not self.children[element]:
@@ -266,7 +326,12 @@ def decode(data: bytes, big: bool, nodes: list[Node]):
 
 def root_field(data: bytes, big: bool, nodes: list[Node], name: str):
     """PRJ-04: one field of the root record."""
-    return next((v for k, v in decode(data, big, nodes) if k == name), None)
+    return next((v for _, v in decode_fields(data, big, nodes, {name})), None)
+
+
+def decode_fields(data: bytes, big: bool, nodes: list[Node], wanted: set[str]) -> list[tuple[str, object]]:
+    """PRJ-04: some fields of the root record."""
+    return Tree(nodes).fields(Reader(data, big=big), wanted)
 
 
 def jsonable(value):
