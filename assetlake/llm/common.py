@@ -88,15 +88,20 @@ def _place(docs: DataFrame, name: str) -> int:
     return same[0]
 
 
-#: Rows that go to a Python worker at once, where the session doesn't say otherwise: whole texts may be long.
-ROWS = 1000
+#: Rows and bytes that go to a Python worker at once, where the session doesn't say otherwise: texts may be long.
+ROWS, BYTES = 1000, 4 << 20
 
 
 def _bounded_batches(docs: DataFrame) -> None:
-    """Leave the session's number of rows in a batch if it was set; the default of 10,000 suits numbers, not texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if docs.sparkSession.conf.get(name) == "10000":
-        docs.sparkSession.conf.set(name, str(ROWS))
+    """Leave what the application was started with; Spark's defaults suit numbers, not texts."""
+    spark = docs.sparkSession
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    rows, bytes_ = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = spark.sparkContext.getConf()
+    if not given.contains(rows) and int(spark.conf.get(rows)) > ROWS:
+        spark.conf.set(rows, str(ROWS))
+    if not given.contains(bytes_) and size(spark.conf.get(bytes_)) > BYTES:
+        spark.conf.set(bytes_, str(BYTES))
 
 
 def pick(docs: DataFrame, **wanted: str) -> DataFrame:
