@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from assetlake.llm.common import NOT_SPACE, blocks, grams, join_small, materialize, mix, pack, pick, summed_cells, text_of, unpack
+from assetlake.llm.common import NOT_SPACE, blocks, grams, join_small, materialize, mix, pack, pick, text_of, unpack
 from assetlake.llm.components import components
 
 SHINGLE, RADIUS, SEED, TILE = 3, 3, 42, 64
@@ -24,8 +24,13 @@ LONG_SHINGLE, SIMILARITY = 5, 0.8
 #: Bits by which the fingerprints of 128 bits of sets of that similarity may differ: 20 are to be expected at 0.8, 64
 #: of unlike sets.
 LOOSE = 40
-#: Cells of the table that tells frequent shingles from others.
-CELLS = 1 << 18
+#: Minima of hashed shingles of a set: so many bands of so many. Sets with a similarity of 0.8 have no band in common
+#: once in 20 million pairs ((1 - 0.8 ** 4) ** 32), those of 0.85 once in 10 billion.
+BANDS, MINIMA = 32, 4
+#: Fixed pseudo-random numbers of the minima's hash functions: what is added, and odd factors.
+_ADD, _FACTOR = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * MINIMA, 1), np.uint32) | np.array([0, 1], np.uint32).reshape(2, 1, 1)
+#: Rows of two numbers that are broadcast at most.
+MANY = 200_000
 #: Sets that one task compares whole: so many that may lack a link with so many others.
 LACKING, OTHERS = 256, 2048
 
@@ -249,47 +254,45 @@ def shingles(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndar
         yield at, g, np.searchsorted(owner, np.arange(to - at + 1))
 
 
-def frequent(texts: DataFrame, k: int) -> np.ndarray:
-    """For each cell of hashed shingles, how often as frequent as the average it is, as a power of 2 (0 at least)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            for _, g, _ in shingles(batch.column(0), k):
-                total += np.bincount((g >> np.uint64(64 - (CELLS - 1).bit_length())).astype(np.int64), minlength=CELLS)
-        return total
-
-    total = summed_cells(texts, count, CELLS)
-    return np.floor(np.log2(np.maximum(1.0, total / max(1.0, total.mean())))).astype(np.uint8)
+def bands(own: np.ndarray) -> np.ndarray:
+    """The buckets of a set of hashes: one for each band of minima under hash functions of their own."""
+    x, least = (own >> np.uint64(32)).astype(np.uint32), np.full(BANDS * MINIMA, (1 << 32) - 1, np.uint32)
+    for a in range(0, len(x), 1024):
+        hashed = x[None, a : a + 1024] + _ADD
+        hashed *= _FACTOR
+        np.minimum(least, hashed.min(axis=1), out=least)
+    pairs = least.view("<u8").reshape(BANDS, MINIMA // 2)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for i in range(MINIMA // 2):
+        out = mix(out + pairs[:, i])
+    return out
 
 
 SET = "struct<class: long, n: int, fp: long, more: long, tokens: binary>"
 
 
-def sets(texts: pa.Array, k: int, similarity: float, rank: np.ndarray | None) -> pa.Array:
-    """For each text: a hash of its set of shingles, its size, its fingerprint, and of its shingles those that a set
-    as similar must share one of, rare ones first; without `rank` 32 bits of all of them."""
+def sets(texts: pa.Array, k: int, banded: bool) -> pa.Array:
+    """For each text: a hash of its set of shingles, its size, its fingerprint and the buckets of its bands; unless
+    `banded`, 32 bits of all its shingles in place of the latter two."""
     out: list[tuple] = []
     for _, g, bounds in shingles(texts, k):
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             own, n = g[a:b], b - a
             whole = int(mix(np.array([(mix(own.copy()).sum(dtype=np.uint64) if n else np.uint64(0)) + np.uint64(n)], np.uint64)).view(np.int64)[0])
-            if rank is None:
+            if not banded:
                 out.append((whole, n, 0, 0, (own >> np.uint64(32)).astype("<u4").tobytes()))
                 continue
             prints = []
             for h in (own, mix(own + np.uint64(1))):
                 ones = sum((ones_of(h[c : c + CHUNK]) for c in range(0, n, CHUNK)), np.zeros(64, np.int64))
                 prints.append(int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0]))
-            first = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
-            level = rank[(own >> np.uint64(64 - (CELLS - 1).bit_length())).astype(np.int64)]
-            out.append((whole, n, *prints, own[np.argsort(level, kind="stable")[:first]].tobytes() if n else b"\0" * 8))
+            out.append((whole, n, *prints, bands(own).tobytes() if n else b"\0" * 8))
     names = ("class", "n", "fp", "more", "tokens")
     return pa.StructArray.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names)
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (bucket, node, fp, size, more) for each token of each class."""
+    """A row (bucket, node, fp, size, more) for each band of each class."""
     for batch in batches:
         whole, n, fp, more = (batch.column(i).to_numpy() for i in range(4))
         blobs = batch.column(4)
@@ -338,26 +341,24 @@ def similar_classes(docs: DataFrame, k: int = LONG_SHINGLE, similarity: float =
     """docs (id, key, text) as (id, key, class): texts with equal sets of shingles share a class; and
     (class, component) of the classes that are linked to others by a similarity that is reached.
 
-    Two sets that are so similar share one of their first (1 - similarity) parts, in any order of all
-    shingles; here rare ones come first. Sets that share such a token are compared in tiles of fingerprints,
-    within a radius that hardly any similar pair exceeds, and what fits is verified by the real
+    Sets that share a band of minima (of those as similar next to all do) are compared in tiles of
+    fingerprints, within a radius that hardly any similar pair exceeds, and what fits is verified by the real
     similarity: each set with the centre of its star, and where a component thereby falls apart, what isn't
-    of its largest class with all of it.
+    of its largest class with all of it. A text has as many bands whatever its length, and a passage that
+    very many texts share brings together only those that it makes alike.
     """
-    spark = docs.sparkSession
-    rank = spark.sparkContext.broadcast(frequent(docs.select("text"), k))
 
-    def column(ranked: bool) -> Column:
+    def column(banded: bool) -> Column:
         @arrow_udf(SET)
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for texts in batches:
-                yield sets(texts, k, similarity, rank.value if ranked else None)
+                yield sets(texts, k, banded)
 
         return run(F.col("text"))
 
     made = materialize(docs.select("id", "key", column(True).alias("s")).select("id", "key", "s.class", "s.n", "s.fp", "s.more", "s.tokens"))
     rows, tokens = made.select("id", "key", "class"), made.select("class", "n", "fp", "more", "tokens")
-    tokens = tokens.groupBy("class").agg(*[F.first(c).alias(c) for c in ("n", "fp", "more", "tokens")])
+    tokens = materialize(tokens.groupBy("class").agg(*[F.first(c).alias(c) for c in ("n", "fp", "more", "tokens")]))
     dealt = tokens.mapInArrow(_tokens, "bucket long, node long, fp long, size int, more long")
     stars = materialize(compared(dealt, loose, similarity, per_task))
     candidates = materialize(components(stars))
@@ -365,7 +366,10 @@ def similar_classes(docs: DataFrame, k: int = LONG_SHINGLE, similarity: float =
     if not n:
         return rows, candidates.select(F.col("node").alias("class"), "component")
 
-    # the whole sets of the classes that may be linked
+    # the whole sets of the classes that may be linked, of one text each; of very many, all texts are read in place
+    if n <= MANY:
+        one = rows.join(F.broadcast(candidates), F.col("class") == F.col("node")).groupBy("class").agg(F.min("key").alias("key"))
+        docs = docs.join(F.broadcast(materialize(one.select("key").distinct())), "key", "left_semi")
     whole = docs.select(column(False).alias("s")).select(F.col("s.class").alias("node"), F.col("s.tokens").alias("set"))
     whole = materialize(join_small(whole, candidates, "node", "inner", n).groupBy("node", "component").agg(F.first("set").alias("set")))
 
@@ -411,7 +415,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows, grouped = similar_classes(packed.select(F.col("_id").alias("id"), F.col("_key").alias("key"), F.col("_text").alias("text")), **options)
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     n = grouped.count()
-    rows = rows.join(grouped, "class", "left") if n > 200_000 else join_small(rows, grouped, "class", "left", n)
+    rows = rows.join(grouped, "class", "left") if n > MANY else join_small(rows, grouped, "class", "left", n)
     rows = materialize(rows.select("id", "key", F.coalesce("component", "class").alias("component")))
     groups = rows.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     groups = materialize(groups.select("component", "first"))
@@ -420,7 +424,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone = materialize(members.filter(order != F.col("first")).select(F.col("id").alias("_gone_id"), F.col("key").alias("_key")).distinct())
     again = materialize(firsts.groupBy("id", "key").count().filter("count > 1").select(F.col("id").alias("_gone_id"), F.col("key").alias("_key")))
     few, many = again.count(), gone.count()
-    small = lambda frame, rows_: F.broadcast(frame) if rows_ <= 200_000 else frame.hint("shuffle_hash")
+    small = lambda frame, rows_: F.broadcast(frame) if rows_ <= MANY else frame.hint("shuffle_hash")
     gone, again = gone.withColumnRenamed("_key", "_gone_key"), again.withColumnRenamed("_key", "_again_key").withColumnRenamed("_gone_id", "_again_id")
     same_gone = (F.col("_key") == F.col("_gone_key")) & F.col("_id").eqNullSafe(F.col("_gone_id"))
     left = packed.join(small(gone, many), same_gone, "left_anti")
