@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one vectorised step handles at once (a longer text is a block of its own).
-BLOCK_BYTES = 3 << 20
+#: Bytes of text that one vectorised step handles at once (a longer text is a block of its own); what a worker keeps
+#: for the next block has the next power of two.
+BLOCK_BYTES = (1 << 20) - 16
 
 
 # ---------------------------------------------------------------- shared storage
