@@ -5,6 +5,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -377,6 +378,61 @@ def test_heavy_seeds_still_connect_all_holders(spark):
     assert len(set(label.values())) == 1 and len(got) < 40 * 6
 
 
+def texts_of_frequent_seeds():
+    """Passages that share a seed, a line or a run of 16 words with many texts, or that are frequent as a whole."""
+    r, new = random.Random(5), fresh_words()
+    line, start, edge, p = new(12), new(5), new(24), new(70)
+    texts = []
+    for i in range(60):
+        # 60 words of which two texts share runs of 12 alone, each after a start that all texts have
+        if i % 2 == 0:
+            shared = [start + new(7) for _ in range(5)]
+        edited = [w for run in shared for w in run + new(1)]
+        texts.append(new(7) + edited + new(3) + line + new(r.randrange(9)) + (p if i % 3 else p[: r.randrange(40, 70)]) + new(2))
+    texts += [new(3) + (edge + [f"v{r.randrange(3)}" for _ in range(r.randrange(1, 30))]) * 3 for _ in range(60)]
+    texts += [["the"] * r.randrange(40, 90) for _ in range(20)] + [["a", "b", "c"] * r.randrange(20, 40) for _ in range(20)]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("unit", [1 << 18, 50])
+def test_passages_are_the_same_however_many_places_are_heavy(spark, monkeypatch, unit):
+    monkeypatch.setattr(passages, "UNIT", unit, raising=False)  # the driver's alone: more ranges
+    docs = spark.createDataFrame(texts_of_frequent_seeds(), "doc_id long, text string").repartition(3).localCheckpoint()
+    rows = lambda heavy: sorted(tuple(x) for x in passages.repeated_passages(docs, heavy=heavy).collect())
+    wanted = rows(10**9)
+    pairs = {frozenset((x[0], x[3])) for x in wanted}
+    assert {frozenset((i, i + 1)) for i in range(0, 60, 2)} <= pairs
+    for heavy in (9, 30, 100):
+        assert rows(heavy) == wanted
+
+
+def test_links_of_sorted_units_are_those_of_one_unit():
+    """However the places of one run of 16 words are cut, the links are those that meet() makes of them all."""
+    r = np.random.default_rng(2)
+    for n in (10, 40, 300):
+        after = r.choice([5, 6, 7], n).astype(np.uint32)
+        doc = r.choice(n // 3, n).astype(np.int64) + 1
+        place = r.permutation(n).astype(np.int32)
+        before = r.choice([0, 1, 3], n).astype(np.uint16)
+        wanted = set(zip(*[x.tolist() for x in passages.meet(np.full(n, 9, np.uint32), after, doc, place, before)]))
+        nth = passages._ordinals(after, doc, place)
+        order = np.lexsort((doc, nth, after))
+        columns = [x[order] for x in (np.full(n, 9), after, nth, doc, place, before)]
+        for size in (1, 2, 3, 7, n):
+            units, tails = [], []
+            for at in range(0, n, size):
+                own = [x[at : at + size] for x in columns]
+                first = int(np.flatnonzero(passages._run_starts(own[1]))[-1])
+                keep = sorted({first, min(first + 1, len(own[0]) - 1), len(own[0]) - 1})
+                tails.append([tuple(int(x[i]) for x in own) for i in keep])
+                units.append([0, len(units), *[x.astype(t).tobytes() for x, (_, _, t) in zip(own, passages.HEAVY_FIELDS)]])
+            carry = {(0, i): x for i, x in enumerate(passages.carried(tails))}
+            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * len(passages.HEAVY_FIELDS)]
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*units), kinds)], names=[str(i) for i in range(len(kinds))])
+            got = [link for b in passages._heavy_links([batch], passages.LEAST_WORDS, carry) for link in zip(*[c.to_pylist() for c in b.columns])]
+            assert len(got) == len(set(got)) and set(got) == wanted
+
+
 def longest_common(a, b):
     table = [0] * (len(b) + 1)
     for x in a:
