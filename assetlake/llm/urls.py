@@ -21,7 +21,8 @@ TREES, DEPTH, BINS, RATE, RIDGE = 6, 3, 16, 0.4, 1.0
 #: Labelled URLs that the statistics of an unknown suffix stand for.
 PSEUDO = 4.0
 
-#: The rules of the filter, (verdict, host, path).
+#: The rules where a caller gives none, (verdict, host, path). op4_urls gives its contract's, which differ in both
+#: words for net.
 RULES = (
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
