@@ -1,5 +1,6 @@
 """The learned operators and the mix, on small fixtures and by held-out accuracy."""
 
+import itertools
 import math
 import random
 import re
@@ -8,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assetlake.llm import decontaminate, language, likelihood, mixing, quality, toxicity, urls
 
@@ -219,6 +221,39 @@ def test_likelihoods(spark, chunk_bytes):
     assert likelihood.likelihoods(docs.limit(0)).count() == 0
 
 
+def test_fitted_pieces_weigh_words(spark):
+    plain = likelihood.Pieces({"▁": -2.0, "▁a": -3.0, "a": -2.0, "b": -2.5, "ab": -1.0, "bab": -4.0, "ba": -3.0})
+    words = ["ab", "abab", "aab", "b", "abé"] * 20
+    fitted = plain.fitted(words)
+    assert sum(map(fitted.word, words)) > sum(map(plain.word, words)) and plain.fitted([]) is plain
+    every = ["".join(w) for n in range(1, 9) for w in itertools.product("ab", repeat=n)]
+    assert sum(math.exp(fitted.word(w)) for w in every) < 1
+    weigh = lambda logs: sum(map(math.exp, logs))
+    assert weigh(fitted.first.values()) == pytest.approx(1) and weigh([*fitted.log.values(), fitted.stop]) + 256 * math.exp(fitted.byte) == pytest.approx(1)
+    x = np.r_[np.linspace(1, 50, 99), 1e3, 1e7]
+    assert likelihood._log_gamma(x) == pytest.approx(np.array([math.lgamma(y) for y in x]), abs=1e-9)
+
+
+def test_op8_learns_from_its_training_rows(spark):
+    from assetlake.llm import queries
+
+    rows = queries.op8_likelihood(spark, SF).collect()
+    assert len(rows) == 1000 and all(math.isfinite(x["score"]) and x["score"] < 0 for x in rows)
+    held = [x for x in rows if x["held_out"]]
+    assert sum(x["score"] for x in held) > 1.1 * sum(x["base_score"] for x in held)
+
+
+def test_learned_likelihoods(spark):
+    texts = ["a a b", "a c", "b b b b", "", None, "new words\tonly", "x" * 5000, "a b c d ééé"] * 4
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one, many = ({x["doc_id"]: x["score"] for x in likelihood.likelihoods(docs, chunk_bytes=n, learn=True).collect()} for n in (1 << 24, 20))
+    assert one == pytest.approx(many) and len(one) == len(texts) and all(-math.inf < x < 0 for x in one.values())
+    assert one[8] == one[16] > one[13]  # words that are known
+    untaught = docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0)
+    assert all(-math.inf < x["score"] < 0 and x["train_tokens"] == 0 for x in likelihood.likelihoods(untaught, learn=True).collect())
+    assert likelihood.likelihoods(docs.limit(0), learn=True).count() == 0
+
+
 # ---------------------------------------------------------------- quality
 def test_quality_keeps_the_good(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
