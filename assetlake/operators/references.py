@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,16 +15,27 @@ def is_null_reference(file_id: Column, path_id: Column) -> Column:
 
 
 def resolve(references: DataFrame, targets: DataFrame, on: list[str], wanted: Column | None = None, null: Column | None = None, how: str = "left") -> DataFrame:
-    """JOIN-01, JOIN-02: look references up by key. Null references find nothing; a target of another
-    kind (wanted, over the targets' columns) is like none, since the condition stands in the join."""
+    """JOIN-01, JOIN-02: look references up by key. Null references, those that null tells and those with a null
+    key, find nothing; a target of another kind (wanted, over the targets' columns) is like none, since the
+    condition stands in the join. Null references stay out of the join, where all of them would be dealt to one
+    task; a left join gets them back as they are."""
     right = targets.filter(wanted) if wanted is not None else targets
-    left = references
-    if null is not None:  # a null reference keeps its row but joins nothing
-        keyed = left.select("*", *[F.when(null, F.lit(None)).otherwise(F.col(k)).alias(f"_ref_{k}") for k in on])
-        condition = [keyed[f"_ref_{k}"] == right[k] for k in on]
-        joined = keyed.join(right, condition, how)
+    if how not in ("left", "inner"):
+        if null is None:
+            return references.join(right, on, how)
+        keyed = references.select("*", *[F.when(null, F.lit(None)).otherwise(F.col(k)).alias(f"_ref_{k}") for k in on])
+        joined = keyed.join(right, [keyed[f"_ref_{k}"] == right[k] for k in on], how)
         return joined.drop(*[right[k] for k in on]).drop(*[f"_ref_{k}" for k in on])
-    return left.join(right, on, how)
+    missing = reduce(or_, [F.col(k).isNull() for k in on], F.coalesce(null, F.lit(False)) if null is not None else F.lit(False))
+    left = references.filter(~missing)
+    if null is None:
+        joined, places = left.join(right, on, how), [*on, *[c for c in references.columns if c not in on]]
+    else:
+        joined, places = left.join(right, [left[k] == right[k] for k in on], how).drop(*[right[k] for k in on]), references.columns
+    if how == "inner":
+        return joined
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name not in on]
+    return joined.union(references.filter(missing).select(*places, *blank))
 
 
 def first_by(df: DataFrame, keys: list[str], value: Column, seq: Column, name: str) -> DataFrame:
